@@ -3,7 +3,7 @@
 Each rule votes good (+1), bad (-1) or abstains (0) on text statistics. The number of
 vote patterns is bounded (3 ** rules), so their counts over the whole corpus are one
 small aggregate; expectation-maximisation on those counts estimates each rule's
-accuracy and the share of good documents, and every document gets the posterior
+shares of votes by class and the share of good documents, and every document gets the posterior
 probability of its pattern.
 
 Defined cases: a null text counts as empty; an empty text has zero statistics and
@@ -28,14 +28,19 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-RULES = ("length", "symbols", "lines", "repeats", "word_length", "upper")
+RULES = ("length", "symbols", "letters", "lines", "repeats", "word_length", "upper")
 THRESHOLD = 0.5
+#: Weight of, and expected share of bad votes, abstentions and good votes on good and on bad documents.
+PRIOR = 3.0
+PRIOR_GOOD, PRIOR_BAD = (0.004, 0.03, 0.966), (0.25, 0.05, 0.7)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC0:] = True  # ASCII letters and the first byte of longer characters
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
 
 def text_statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -46,7 +51,7 @@ def text_statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     n_words = np.diff(words.first)
     chars = tn.sums(words.full & ((buf & 0xC0) != 0x80), off)
     symbols = tn.sums(_SYMBOL[buf], off)
-    upper = tn.sums(_UPPER[buf], off)
+    upper, letters = tn.sums(_UPPER[buf], off), tn.sums(_LETTER[buf], off)
     # lines that hold a word
     cut = np.flatnonzero(buf == 10)
     start = np.unique(np.concatenate([off[:-1], cut + 1]))
@@ -76,7 +81,7 @@ def text_statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         np.add.at(cover, hit, 1)
         np.add.at(cover, hit + WINDOW, -1)
         repeat = np.bincount(wdoc[np.cumsum(cover[:-1]) > 0], minlength=n)[:n]
-    return np.stack([n_words, chars, symbols, dup, repeat, lines, upper], 1).astype(np.int64)
+    return np.stack([n_words, chars, symbols, dup, repeat, lines, upper, letters], 1).astype(np.int64)
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -106,6 +111,7 @@ def votes() -> dict[str, Column]:
     return {
         "length": vote(c("n_words") < MIN_WORDS, c("n_words") >= 40),
         "symbols": vote(c("n_symbols") * 20 > c("word_chars"), c("n_symbols") * 200 <= c("word_chars")),
+        "letters": vote(c("n_letters") * 100 < ch * 80, c("n_letters") * 100 >= ch * 90),
         "lines": vote(c("n_dup_lines") * 10 > c("n_lines") * 3, c("n_dup_lines") == 0),
         "repeats": vote(c("n_repeat_words") * 100 > w * MAX_REPEAT_PERCENT, c("n_repeat_words") * 100 <= w * 5),
         "word_length": vote((ch < w * 2) | (ch > w * 15), (ch >= w * 3) & (ch <= w * 10)),
@@ -113,23 +119,30 @@ def votes() -> dict[str, Column]:
     }
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
-    """(accuracy of each rule, share of good documents, posterior of each pattern)."""
-    accuracy, prior = np.full(patterns.shape[1], 0.8), 0.8
-    posterior = np.full(len(patterns), prior)
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, float, np.ndarray]:
+    """(share of votes bad, none, good by rule and class (good, bad); share of good documents; posterior of each pattern).
+
+    Documents with a bad vote start as probably bad. The rules are written to be right, which
+    PRIOR_GOOD and PRIOR_BAD state; they count ``PRIOR`` times the documents of a class, so the
+    estimates keep to the rules' meaning where kinds of bad documents differ.
+    """
+    bad_vote = (patterns == -1).any(1)
+    posterior = np.where(bad_vote, 0.1, 0.9)
+    which = patterns + 1
+    shares, prior = np.zeros((patterns.shape[1], 2, 3)), 0.5
     for _ in range(rounds):
-        lg, lb = np.log(accuracy), np.log1p(-accuracy)
-        good = np.log(prior) + ((patterns == 1) * lg + (patterns == -1) * lb).sum(1)
-        bad = np.log1p(-prior) + ((patterns == -1) * lg + (patterns == 1) * lb).sum(1)
-        new = 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
-        right = (counts[:, None] * ((patterns == 1) * new[:, None] + (patterns == -1) * (1 - new[:, None]))).sum(0)
-        voted = (counts[:, None] * (patterns != 0)).sum(0)
-        accuracy = np.clip((right + 8) / (voted + 10), 0.55, 0.99)
-        prior = float(np.clip((counts @ new + 8) / (counts.sum() + 10), 0.05, 0.95))
+        logs = []
+        for c, (weight, mean) in enumerate(((counts * posterior, PRIOR_GOOD), (counts * (1 - posterior), PRIOR_BAD))):
+            total = weight.sum() + 1
+            for k in range(patterns.shape[1]):
+                shares[k, c] = (np.bincount(which[:, k], weights=weight, minlength=3) + PRIOR * total * np.array(mean)) / (weight.sum() + PRIOR * total)
+            logs.append(np.log(shares[np.arange(patterns.shape[1]), c, which]).sum(1))
+        prior = float((counts @ posterior + 1) / (counts.sum() + 2))
+        new = 1 / (1 + np.exp(np.clip(np.log1p(-prior) + logs[1] - np.log(prior) - logs[0], -700, 700)))
         done, posterior = np.abs(new - posterior).max(initial=0) < 1e-9, new
         if done:
             break
-    return accuracy, prior, posterior
+    return shares, prior, posterior
 
 
 def judged(stats: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -16,15 +16,62 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_documents(spark, sf_dir))
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import bpe_round_trip
+
+    return bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lz_fingerprint import lz_fingerprints
+
+    return lz_fingerprints(_documents(spark, sf_dir))
+
+
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree_lm import suffix_tree_scores
+
+    return suffix_tree_scores(_documents(spark, sf_dir), F.crc32(F.col("id").cast("string")) % 5 != 1)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(_documents(spark, sf_dir), width=2)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import quality_scores
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_scores(_documents(spark, sf_dir), labels, F.crc32(F.col("id").cast("string")) % 4 != 2)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_lz_fingerprint": op4_lz_fingerprint,
+    "op6_suffix_tree_lm": op6_suffix_tree_lm,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {}

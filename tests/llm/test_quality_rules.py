@@ -32,11 +32,13 @@ def test_empty_table(empty):
     assert quality_rules(empty).count() == 0
 
 
-def test_rules_that_agree_earn_accuracy():
-    rng = np.random.RandomState(0)
-    truth = rng.rand(4000) < 0.7
-    right = rng.rand(4000, 3) < [0.95, 0.9, 0.6]
-    votes = np.where(right == truth[:, None], 1, -1)
-    pats, counts = np.unique(votes, axis=0, return_counts=True)
-    acc, prior, _ = expectation_maximisation(pats, counts.astype(float))
-    assert np.allclose(acc, [0.95, 0.9, 0.6], atol=0.06) and abs(prior - 0.7) < 0.06
+def test_estimates_find_what_is_wrong():
+    rng = np.random.RandomState(3)
+    good = rng.rand(8000) < 0.85
+    kind = rng.randint(0, 2, 8000)  # which two rules see what is wrong
+    wrong = ~good[:, None] & (kind[:, None] == np.arange(6) // 3) & (rng.rand(8000, 6) < 0.9)
+    pats, inv, counts = np.unique(np.where(wrong, -1, 1), axis=0, return_inverse=True, return_counts=True)
+    shares, prior, post = expectation_maximisation(pats, counts.astype(float))
+    assert abs(prior - 0.85) < 0.05 and np.allclose(shares.sum(2), 1)
+    assert ((post[inv.ravel()] >= 0.5) == good).mean() > 0.97
+    assert (shares[:, 0, 0] < 0.02).all() and (shares[:, 1, 0] > 0.15).all()
