@@ -36,6 +36,12 @@ def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprints(_documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(_documents(spark, sf_dir))
+
+
 def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_tree_lm import suffix_tree_scores
 
@@ -63,15 +69,23 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), labels, F.crc32(F.col("id").cast("string")) % 4 != 2)
 
 
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraph_dedup import repeated_passages
+
+    return repeated_passages(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_lz_fingerprint": op4_lz_fingerprint,
+    "op5_line_dedup": op5_line_dedup,
     "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_paragraph_dedup": op10_paragraph_dedup,
 }
 
 ORACLE: dict[str, str] = {}
