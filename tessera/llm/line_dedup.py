@@ -101,7 +101,7 @@ def _near(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Data
     first = lines.join(some, _ID, "left_semi").groupBy(*_ID).agg(F.min(F.struct("doc", "line")).alias("e")).select(*_ID, "e.*")
     by_doc = first.groupBy("doc").agg(F.collect_list(F.struct("line", *_ID)).alias("some"))
     text = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-    text = text.join(by_doc, "doc").withColumn("all", F.split("t", "\n"))
+    text = text.join(by_doc.hint("shuffle_hash"), "doc").withColumn("all", F.split("t", "\n"))
     picked = F.transform("some", lambda x: F.struct(x["line"].alias("line"), x["h1"].alias("h1"), x["h2"].alias("h2"), _words(F.get("all", x["line"])).alias("w")))
     words = text.select("doc", F.explode(picked).alias("x")).select("doc", "x.*").where("xxhash64(w) = h1").dropDuplicates(_ID)
     words = written(words, "lines")
@@ -147,5 +147,5 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """docs with repeated lines taken out of their texts; all columns and rows stay."""
     gone = repeated_lines(docs, id_col, text_col).where("gone").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
     text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__doc"), "left")
+    joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__doc"), "left")
     return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)
