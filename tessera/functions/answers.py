@@ -9,6 +9,7 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The rewards.
 CORRECT, WRONG, TOOL_BONUS = 1.0, 0.0, 0.5
@@ -35,7 +36,7 @@ def boxed(text: str | None) -> str | None:
 def plain(answer: str) -> str:
     """LaTeX decoration, units of per cent and money, thousands commas and spaces taken off."""
     s = answer.strip().strip("$")
-    for x in ("\\left", "\\right", "\\!", "\\,", "\;", "\\ ", "^{\\circ}", "^\\circ", "\\%", "%", "\\$"):
+    for x in ("\\left", "\\right", "\\!", "\\,", "\\;", "\\ ", "^{\\circ}", "^\\circ", "\\%", "%", "\\$"):
         s = s.replace(x, "")
     s = re.sub(r"\\(?:text|mathrm|textbf|mbox)\{([^{}]*)\}", r"\1", s)
     s = re.sub(r"\\[dt]?frac(\d)(\d)", r"\\frac{\1}{\2}", s)
@@ -106,16 +107,22 @@ def math_reward_one(action: str | None, truths: list[str] | None, tool_call: boo
     return CORRECT + (TOOL_BONUS if tool_call else 0) if hit else WRONG
 
 
-@F.pandas_udf("string")
-def extract_boxed(s: pd.Series) -> pd.Series:
+def _boxed(s: pd.Series) -> pd.Series:
     return s.map(boxed)
 
 
-@F.pandas_udf("double")
-def math_reward(action: pd.Series, truths: pd.Series, tool_call: pd.Series) -> pd.Series:
+def extract_boxed(text: Column) -> Column:
+    return F.pandas_udf(_boxed, T.StringType())(text)
+
+
+def _math(action: pd.Series, truths: pd.Series, tool_call: pd.Series) -> pd.Series:
     return pd.Series([math_reward_one(a, None if t is None else list(t), bool(c)) for a, t, c in zip(action, truths, tool_call, strict=True)], dtype=float)
 
 
+def math_reward(action: Column, truths: Column, tool_call: Column) -> Column:
+    return F.pandas_udf(_math, T.DoubleType())(action, truths, tool_call)
+
+
 def countdown_one(action: str | None, numbers: list[int] | None, target: int | None) -> float:
     """1 if the last answer uses every number once and gives the target."""
     if not action or numbers is None or target is None:
@@ -130,11 +137,14 @@ def countdown_one(action: str | None, numbers: list[int] | None, target: int | N
     return CORRECT if value is not None and abs(value - target) < Fraction(1, 100000) else WRONG
 
 
-@F.pandas_udf("double")
-def countdown_reward(action: pd.Series, numbers: pd.Series, target: pd.Series) -> pd.Series:
+def _countdown(action: pd.Series, numbers: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([countdown_one(a, None if n is None else list(n), None if pd.isna(t) else int(t)) for a, n, t in zip(action, numbers, target, strict=True)], dtype=float)
 
 
+def countdown_reward(action: Column, numbers: Column, target: Column) -> Column:
+    return F.pandas_udf(_countdown, T.DoubleType())(action, numbers, target)
+
+
 def symbolic_allowed(expression: Column) -> Column:
     """At most two different letters beside sqrt and frac, and no power that is hard to compare."""
     letters = F.array_distinct(F.regexp_extract_all(F.regexp_replace(expression, "sqrt|frac", ""), F.lit("([a-zA-Z])"), F.lit(1)))
@@ -175,6 +185,9 @@ def same_stdout_one(a: str | None, b: str | None) -> bool:
     return True
 
 
-@F.pandas_udf("boolean")
-def same_stdout(a: pd.Series, b: pd.Series) -> pd.Series:
+def _stdout(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_stdout_one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def same_stdout(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_stdout, T.BooleanType())(a, b)

@@ -16,8 +16,8 @@ def collapsed(s: Column) -> Column:
 
 def answer_words(s: Column) -> Column:
     """Lower case, without punctuation and articles, single spaces."""
-    plain = F.translate(F.lower(s), PUNCTUATION, "")
-    return F.btrim(F.regexp_replace(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    words = F.split(F.regexp_replace(F.translate(F.lower(s), PUNCTUATION, ""), r"\s+", " "), " ")
+    return F.array_join(F.filter(words, lambda w: ~w.isin("", "a", "an", "the")), " ")
 
 
 def tokens(s: Column) -> Column:
