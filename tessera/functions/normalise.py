@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,15 +35,21 @@ def common_tokens(p: Column, g: Column) -> Column:
     return F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, x: acc + F.least(_count(p, x), _count(g, x)))
 
 
+def let(fn: Callable[[Column], Column], **values: Column) -> Column:
+    """fn over a struct of values that are computed once; a lambda would compute them for each element."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), fn), F.lit(0))
+
+
 def token_f1(prediction: Column, truth: Column) -> Column:
     """F1 of normalised token multisets; yes, no and noanswer only agree with themselves; nothing in common is 0."""
-    p, g = answer_words(prediction), answer_words(truth)
-    a, b = tokens(p), tokens(g)
-    same = common_tokens(a, b)
-    special = F.lit(False)
-    for s in (p, g):
-        special = special | (s.isin("yes", "no", "noanswer") & (p != g))
-    return F.when(special | (same == 0), 0.0).otherwise(2.0 * same / (F.size(a) + F.size(b)))
+
+    def score(s: Column) -> Column:
+        same, special = common_tokens(s["a"], s["b"]), F.lit(False)
+        for x in ("p", "g"):
+            special = special | (s[x].isin("yes", "no", "noanswer") & (s["p"] != s["g"]))
+        return F.when(special | (same == 0), 0.0).otherwise(2.0 * same / (F.size(s["a"]) + F.size(s["b"])))
+
+    return let(lambda s: let(score, p=s["p"], g=s["g"], a=tokens(s["p"]), b=tokens(s["g"])), p=answer_words(prediction), g=answer_words(truth))
 
 
 def exact_match(prediction: Column, truth: Column) -> Column:

@@ -4,31 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def unit(v: Column) -> Column:
-    x = F.transform(v, lambda a: a.cast("double"))
-    n = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, a: acc + a * a))
-    return F.transform(x, lambda a: F.when(n > 0, a / n).otherwise(0.0))
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, vec: str, k: int, blocks: int = 16) -> DataFrame:
+    """query_id, vector_id, score, rank: the k best of all vectors for a stated set of queries; ties by id.
 
+    The query set meets the vectors in blocks: each block is one matrix product and keeps its own k best for a
+    query before these meet.
+    """
+    q = queries.select(F.col(query_id).alias("qid"), F.col(vec).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("at"))
+    v = vectors.select(F.col(vector_id).alias("vid"), F.col(vec).alias("v"), F.pmod(F.xxhash64(vector_id), F.lit(blocks)).cast("int").alias("block"))
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    def units(column: pa.ChunkedArray) -> np.ndarray:
+        m = np.array(column.to_pylist(), float)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(size > 0, size, 1)
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({query_id: pa.array([], pa.int64()), vector_id: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        vid, qid = left.column("vid").to_numpy(), right.column("qid").to_numpy()
+        order = np.argsort(vid, kind="stable")
+        score = units(right.column("q")) @ units(left.column("v"))[order].T
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        return pa.table({query_id: np.repeat(qid, best.shape[1]), vector_id: vid[order][best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, vec: str, k: int, blocks: int = 16) -> DataFrame:
-    """query_id, vector_id, score, rank: the k best of all vectors for a stated set of queries.
-
-    The query set meets the vectors in blocks: each block keeps its own k best for a query before these meet.
-    """
-    q = queries.select(query_id, unit(F.col(vec)).alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    v = vectors.select(vector_id, unit(F.col(vec)).alias("v")).withColumn("block", F.pmod(F.xxhash64(vector_id), F.lit(blocks)).cast("int"))
-    scored = q.join(v, "block").select(query_id, vector_id, "block", dot(F.col("q"), F.col("v")).alias("score"))
-    best = [F.desc("score"), F.col(vector_id)]
-    local = scored.withColumn("r", F.row_number().over(Window.partitionBy(query_id, "block").orderBy(*best))).where(F.col("r") <= k)
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*best))).where(F.col("rank") <= k).select(query_id, vector_id, "score", "rank")
+    kinds = dict(queries.dtypes)[query_id], dict(vectors.dtypes)[vector_id]
+    local = v.groupBy("block").cogroup(q.groupBy("at")).applyInArrow(run, f"`{query_id}` {kinds[0]}, `{vector_id}` {kinds[1]}, score double")
+    return local.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), vector_id))).where(F.col("rank") <= k)
 
 
 def above(scored: DataFrame, score: str, threshold: float, row: str) -> DataFrame:
@@ -36,25 +43,28 @@ def above(scored: DataFrame, score: str, threshold: float, row: str) -> DataFram
     return scored.where(F.col(score) > threshold).select(row).distinct()
 
 
-def word_shingles(text: Column, n: int) -> Column:
-    w = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def shingles(w: Column, n: int) -> Column:
+    """Distinct runs of n words; w is a stored column, since the lambda reads it for every run."""
     return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))).otherwise(F.array().cast("array<string>"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, n: int, share: float) -> DataFrame:
     """doc, item, shared, share: documents that hold at least ``share`` of an item's shingles."""
-    i = items.select(item, word_shingles(F.col(text), n).alias("s")).withColumn("size", F.size("s")).where("size > 0")
-    d = docs.select(doc, F.explode(word_shingles(F.col(text), n)).alias("g"))
+    i = items.select(item, words(F.col(text)).alias("w")).select(item, shingles(F.col("w"), n).alias("s")).withColumn("size", F.size("s")).where("size > 0")
+    d = docs.select(doc, words(F.col(text)).alias("w")).select(doc, F.explode(shingles(F.col("w"), n)).alias("g"))
     hits = d.join(i.select(item, "size", F.explode("s").alias("g")), "g").groupBy(doc, item, "size").agg(F.count("*").alias("shared"))
     return hits.withColumn("share", F.col("shared") / F.col("size")).where(F.col("share") >= share).drop("size")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """query, doc, score, rank of the k best, from term and document frequencies; only documents that share a term meet a query."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    d = docs.select(doc, words.alias("w")).withColumn("len", F.size("w"))
+    d = docs.select(doc, words(F.col(text)).alias("w")).withColumn("len", F.size("w"))
     stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    terms = queries.select(query, F.explode(F.array_distinct(words)).alias("t"))
+    terms = queries.select(query, F.explode(F.array_distinct(words(F.col(text)))).alias("t"))
     tf = d.select(doc, "len", F.explode("w").alias("t")).join(terms.select("t").distinct(), "t", "left_semi").groupBy(doc, "len", "t").agg(F.count("*").alias("tf"))
     df = tf.groupBy("t").agg(F.count("*").alias("df"))
     joined = terms.join(tf, "t").join(df, "t").join(F.broadcast(stats), F.lit(True))  # one row
