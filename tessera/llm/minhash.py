@@ -7,8 +7,8 @@
 3. Signatures of proposed pairs are compared in batches; after each batch a pair is
    pruned once the posterior probability of reaching the threshold is under ``MISS``.
 4. Survivors are confirmed on their full sets; confirmed links make components.
-5. Buckets that still span several components propose more pairs between these, with
-   ever more pivots until all members are pivots, so no proposed link is left out.
+5. Larger buckets that still span several components go through exact comparison in
+   blocks: what is outside a bucket's main component meets the blocks of its group.
 
 Defined cases: null and empty texts have no shingles, link with nothing and stay; a
 text of fewer words than a shingle is one shingle; repeated rows fall in one class and
@@ -34,7 +34,7 @@ ROWS, BANDS = 5, 32
 BATCH = 32
 MISS = 1e-6
 SIMILARITY = 80
-FIRST_PIVOTS, PIVOT_GROWTH = 16, 8
+BLOCK = 256
 
 _rng = np.random.RandomState(97)
 _MUL = _rng.randint(1, 1 << 62, ROWS * BANDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,6 +158,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def block_links(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share buckets; named: (key, id, comp).
+
+    A bucket's main component is its most frequent. All members of the buckets of one main component
+    form a group, dealt to blocks of about BLOCK; members outside the main component meet every block,
+    where an index of its shingles gives exact similarities. A block returns one link for a
+    document and component.
+    """
+    main = named.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", -F.col("comp"))).alias("m")).select("key", (-F.col("m.col2")).alias("main"))
+    members = written(named.join(main, "key").groupBy("main", "id", "comp").agg(F.lit(1).alias("n")).select("main", "id", "comp"), "minhash")
+    blocks = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    full = members.join(blocks, "main").join(sets, "id")
+    left = full.select("main", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "comp", "set")
+    right = full.where("comp <> main").select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "comp", "set").toDF("of", "at", "x", "xc", "xs")
+
+    def run(mine: pa.Table, others: pa.Table) -> pa.Table:
+        ids, comps = mine.column("id").to_numpy(), mine.column("comp").to_numpy()
+        sets_ = [np.frombuffer(x.as_py(), np.uint64) for x in mine.column("set")]
+        size = np.array([len(x) for x in sets_], np.int64)
+        keys = np.concatenate(sets_) if sets_ else np.zeros(0, np.uint64)
+        order = np.argsort(keys)
+        keys, owner = keys[order], np.repeat(np.arange(len(sets_)), size)[order]
+        a, b = [], []
+        for i, c, x in zip(others.column("x").to_pylist(), others.column("xc").to_pylist(), others.column("xs"), strict=True):
+            q = np.frombuffer(x.as_py(), np.uint64)
+            lo, hi = np.searchsorted(keys, q, "left"), np.searchsorted(keys, q, "right")
+            both = np.bincount(owner[tn.ranges(lo, hi - lo)], minlength=len(size))
+            hit = np.flatnonzero((100 * both >= percent * (size + len(q) - both)) & (both > 0) & (comps != c))
+            hit = hit[np.unique(comps[hit], return_index=True)[1]]
+            a += [i] * len(hit)
+            b += ids[hit].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.groupBy("main", "block").cogroup(right.groupBy("of", "at")).applyInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(id, component): the least id reachable, for every id that has an edge.
 
@@ -220,31 +256,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
     if not more.isEmpty():
         verify(more)
         comp = labels()
-    pivots = FIRST_PIVOTS
-    largest = multi.agg(F.max("size")).first()[0] or 0
-    left = multi.where("size > 3")
-    while largest > 3:
-        named = left.join(comp, "id", "left").select("key", "size", "id", F.coalesce("component", "id").alias("comp"))
-        open_keys = named.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("key")
-        named = written(named.join(open_keys, "key", "left_semi"), "minhash")
-        if named.isEmpty():
-            break
-        chosen = named.where(F.pmod(F.xxhash64("id", "key"), F.col("size")) < pivots)
-        pairs = (
-            named.join(chosen.select("key", F.col("id").alias("p"), F.col("comp").alias("pc")), "key").where("comp <> pc and id <> p")
-            .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        )
-        fresh = written(plausible(pairs, sigs, percent), "minhash")
-        if not fresh.isEmpty():
-            lacking = fresh.select(F.col("a").alias("id")).union(fresh.select("b")).distinct().join(sets, "id", "left_anti")
-            extra = written(sets_of(source.join(lacking, "id", "left_semi"), width, "id", "text").dropDuplicates(["id"]), "minhash")
-            sets = sets.union(extra)
-            verify(fresh)
-            comp = labels()
-        if pivots >= largest:
-            break
-        pivots *= PIVOT_GROWTH
-        left = named.select("key", "id", "size")
+    named = multi.where("size > 3").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    open_keys = named.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("key")
+    named = written(named.join(open_keys, "key", "left_semi"), "minhash")
+    if not named.isEmpty():
+        lacking = named.select("id").distinct().join(sets, "id", "left_anti")
+        sets = sets.union(written(sets_of(source.join(lacking, "id", "left_semi"), width, "id", "text").dropDuplicates(["id"]), "minhash"))
+        links.append(written(block_links(named, sets, percent), "minhash"))
+        comp = labels()
     by_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = feats.select("id", "n_shingles", "c1", "c2").join(by_class, ["c1", "c2", "n_shingles"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
