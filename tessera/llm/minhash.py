@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
     # Signatures of all that share a bucket; full sets of those with a plausible partner.
     near = hopeful.select(F.col("a").alias("id")).union(hopeful.select("b")).distinct()
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(sets_of(source.join(near, "id", "left_semi"), width, "id", "text").dropDuplicates(["id"]), "minhash")
+    sets = written(sets_of(source.join(near.hint("merge"), "id", "left_semi"), width, "id", "text").dropDuplicates(["id"]), "minhash")
     verify(hopeful.join(best, ["a", "b"], "left_semi"))
     comp = labels()
 
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
     named = written(named.join(open_keys, "key", "left_semi"), "minhash")
     if not named.isEmpty():
         lacking = named.select("id").distinct().join(sets, "id", "left_anti")
-        sets = sets.union(written(sets_of(source.join(lacking, "id", "left_semi"), width, "id", "text").dropDuplicates(["id"]), "minhash"))
+        sets = sets.union(written(sets_of(source.join(lacking.hint("merge"), "id", "left_semi"), width, "id", "text").dropDuplicates(["id"]), "minhash"))
         links.append(written(block_links(named, sets, percent), "minhash"))
         comp = labels()
     by_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
