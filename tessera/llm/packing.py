@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +32,12 @@ from .store import written
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: Cached units; a full cache is emptied, results do not depend on it.
-CACHE = 200_000
+#: Cached units; a full cache is kept until the next is full, results do not depend on it.
+CACHE = 400_000
 
 _UNIT = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+#: Fixed value: the byte-level pattern that cuts a text into pieces, each encoded by itself.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Other white space than the ASCII class, or what may be a special token: the tokenizer then sees the text in one.
 _WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -44,28 +47,39 @@ def unit_encoder(path: str) -> Callable[[bytes], bytes]:
     """text -> ids as little-endian 32-bit integers.
 
     The byte-level pattern never joins a sign with white space after it, so a text is encoded unit
-    by unit (white space and the signs after it), and units seen before are looked up.
+    by unit (white space and the signs after it), units piece by piece, and what was seen before is looked up.
     """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    cache: dict[bytes, bytes] = {}
+    caches: list[dict[bytes, bytes]] = [{}, {}]
+    pieces: list[dict[str, bytes]] = [{}, {}]
 
     def ids(data: bytes) -> bytes:
         return np.array(tok.encode(data.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(p: str) -> bytes:
+        got = pieces[0].get(p) or pieces[1].get(p)
+        if got is None:
+            got = ids(p.encode())
+            if len(p) < 64:
+                if len(pieces[0]) >= CACHE // 2:
+                    pieces[:] = [{}, pieces[0]]
+                pieces[0][p] = got
+        return got
+
     def unit(u: bytes) -> bytes:
-        got = ids(u)
+        got = caches[1].get(u) or b"".join([piece(p) for p in _PIECE.findall(u.decode())])
         if len(u) < 64:
-            if len(cache) > CACHE:
-                cache.clear()
-            cache[u] = got
+            if len(caches[0]) >= CACHE:
+                caches[:] = [{}, caches[0]]
+            caches[0][u] = got
         return got
 
     def encode(data: bytes) -> bytes:
         if _WHOLE.search(data):
             return ids(data)
-        find = cache.get
+        find = caches[0].get
         return b"".join([find(u) or unit(u) for u in _UNIT.findall(data)])
 
     return encode
