@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 
-#: Entries kept of words and pieces seen; a full cache is emptied, results do not depend on it.
-CACHE = 200_000
+#: Entries of words and of pieces seen; a full cache is kept until the next is full, results do not depend on it.
+CACHE = 250_000
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -87,25 +87,27 @@ class Encoder:
         self.byte_decoder = bool(spec.get("decoder"))
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.cache: dict[bytes, tuple[bytes, bytes]] = {}
+        self.old, self.old_pieces = {}, {}  # the full caches before these
         #: Contractions, letters, a digit, other signs: the file's pattern with its white space spelled out.
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
     def merge(self, symbols: list[str]) -> list[str]:
         """BPE of a bounded list of symbols."""
         rank = self.rank
-        if len(symbols) < 40:
-            while len(symbols) > 1:
-                best, at = 1 << 60, -1
-                prev = symbols[0]
-                for k in range(1, len(symbols)):
-                    nxt = symbols[k]
-                    r = rank.get((prev, nxt), 1 << 60)
-                    if r < best:
-                        best, at = r, k
-                    prev = nxt
-                if at < 0:
+        if len(symbols) < 64:
+            none, get = 1 << 60, rank.get
+            ranks = [get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+            while ranks:
+                best = min(ranks)
+                if best == none:
                     break
-                symbols[at - 1 : at + 1] = [symbols[at - 1] + symbols[at]]
+                k = ranks.index(best)
+                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+                del ranks[k]
+                if k:
+                    ranks[k - 1] = get((symbols[k - 1], symbols[k]), none)
+                if k < len(ranks):
+                    ranks[k] = get((symbols[k], symbols[k + 1]), none)
             return symbols
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
         heap = [(rank[p], k) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in rank]
@@ -149,17 +151,24 @@ class Encoder:
             yield from self.merge(held)
 
     def piece(self, text: str) -> tuple[int, ...]:
-        got = self.pieces.get(text)
+        got = self.pieces.get(text) or self.old_pieces.get(text)
         if got is None:
-            if len(self.pieces) > CACHE:
-                self.pieces.clear()
             letters = self.letters
-            got = tuple(self.ids[t] for t in self.stream(letters[b] for b in text.encode()))
-            if len(text) < 64:
+            symbols = [letters[b] for b in text.encode()]
+            if len(symbols) < 64:
+                symbols[-1] += self.end
+                got = tuple([self.ids[t] for t in self.merge(symbols)])
+                if len(self.pieces) >= CACHE:
+                    self.old_pieces, self.pieces = self.pieces, {}
                 self.pieces[text] = got
+            else:
+                got = tuple(self.ids[t] for t in self.stream(symbols))
         return got
 
     def _word(self, word: bytes) -> tuple[bytes, bytes]:
+        if (got := self.old.get(word)) is not None:
+            self.cache[word] = got
+            return got
         s = word.decode()
         if not s.isascii():
             if self.nfc:
@@ -171,8 +180,8 @@ class Encoder:
         ids = [i for p in self.split.findall(s) for i in self.piece(p)]
         got = struct.pack(f"<{len(ids)}I", *ids), "".join(self.words[i] + " " for i in ids).encode()
         if len(word) < 64:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
+            if len(self.cache) >= CACHE:
+                self.old, self.cache = self.cache, {}
             self.cache[word] = got
         return got
 
@@ -200,8 +209,9 @@ class Encoder:
         yield from self._run(data)
 
     def _run(self, data: bytes) -> Iterator[tuple[bytes, bytes]]:
-        words, cache, miss = data.split(), self.cache.get, self._word
+        words, miss = data.split(), self._word
         for k in range(0, len(words), 1 << 14):
+            cache = self.cache.get  # a full cache is put away meanwhile; then misses look in both
             got = [cache(w) or miss(w) for w in words[k : k + (1 << 14)]]
             yield b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
 
