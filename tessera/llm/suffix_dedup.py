@@ -6,9 +6,10 @@ corpus would move many times its size, so suffixes that cannot repeat are left o
 
 1. Each string of ``LENGTH`` bytes has one minimal ``GRAM``-byte hash, the same wherever the
    string is found. Runs of starts with one minimum form a segment (about 30 starts).
-   Segments meet by that minimum: one alone with it holds no repeated string; one with
-   the content of an earlier segment is repeated as a whole; the first segments of
-   different contents are expanded.
+   Segments meet by that minimum: one with the content of an earlier segment is repeated
+   as a whole; the first segments of different contents are expanded. One content alone
+   with its minimum repeats a string only inside itself, with a period under ``SPAN``; then
+   its minimal gram occurs twice in it, and its first segment is expanded too.
 2. Each start of an expanded segment is a suffix. Splitters sampled from the corpus
    range-partition the suffixes by their leading bytes (a leading string that spans several
    splitters is split further by what follows), so boundaries never part equal
@@ -43,6 +44,7 @@ SPAN = 64  # grams in a string of LENGTH bytes
 BUCKET_BYTES = 8 << 20
 SAMPLE = 20_000
 FULL, EXPAND, START = 0, 1, 2
+INNER = 128  # added to the size of a segment that may repeat a string inside itself
 
 _Q = 2147483647
 _RECORD = "chunk long, kind int, doc binary, start binary, size binary"
@@ -61,14 +63,14 @@ def chunk_of(doc: np.ndarray, chunks: int) -> np.ndarray:
 
 
 def segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimum, content hash, row, start in the row, number of starts) of each segment."""
+    """(minimum, content hash, row, start in the row, number of starts with INNER) of each segment."""
     n = len(buf) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     pre = tn.prefix_hash(buf)
     _, down = tn.powers(len(pre))
-    low = tn.mix((pre[GRAM:] - pre[:-GRAM]) * down[: len(pre) - GRAM])
+    gram = low = tn.mix((pre[GRAM:] - pre[:-GRAM]) * down[: len(pre) - GRAM])
     step = 1
     while step < SPAN:
         low = np.minimum(low[:-step], low[step:])
@@ -89,7 +91,11 @@ def segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     start = np.repeat(at, pieces) + (tn.ranges(np.zeros(len(at), np.int64), pieces) * SPAN)
     size = np.minimum(np.repeat(stop, pieces) - start, SPAN)
     row = np.searchsorted(off, start, "right") - 1
-    return low[start], tn.span_hash(pre, start, start + size - 1 + LENGTH), row, start - off[row], size
+    # If strings a < b of a segment are equal, the minimum is among the first b - a grams and
+    # among the last: it begins a string before the last one and ends one after the first.
+    begins, ends = (np.append(0, np.cumsum(x)) for x in (gram[:n] == low, gram[SPAN - 1 :] == low))
+    inner = (begins[start + size - 1] > begins[start]) & (ends[start + size] > ends[start + 1])
+    return low[start], tn.span_hash(pre, start, start + size - 1 + LENGTH), row, start - off[row], size + INNER * inner
 
 
 def multikey_quicksort(columns: list[np.ndarray], small: int = 1 << 14) -> np.ndarray:
@@ -136,7 +142,7 @@ def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _verdicts(kind: int, doc: np.ndarray, start: np.ndarray, size: np.ndarray, chunks: int) -> list[tuple]:
-    return [(c, kind, doc[i].tobytes(), start[i].astype(np.int32).tobytes(), size[i].astype(np.uint8).tobytes()) for c, i in _by_group(chunk_of(doc, chunks))]
+    return [(c, kind, doc[i].tobytes(), start[i].astype(np.int32).tobytes(), (size[i] % INNER).astype(np.uint8).tobytes()) for c, i in _by_group(chunk_of(doc, chunks))]
 
 
 def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
@@ -201,7 +207,7 @@ def _judge_segments(sent: DataFrame, chunks: int) -> DataFrame:
             doc, start, size = _join(mine, "doc", np.int64), _join(mine, "start", np.int32), _join(mine, "size", np.uint8)
             firsts, later = _first_of_equal([key, content], doc, start)
             out += _verdicts(FULL, doc[later], start[later], size[later], chunks)
-            many = firsts[tn.repeated_keys(key[firsts])]
+            many = firsts[tn.repeated_keys(key[firsts]) | (size[firsts] >= INNER)]
             out += _verdicts(EXPAND, doc[many], start[many], size[many], chunks)
         return _table(out, *_V)
 
