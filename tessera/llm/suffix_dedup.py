@@ -47,7 +47,9 @@ FULL, EXPAND, START = 0, 1, 2
 INNER = 128  # added to the size of a segment that may repeat a string inside itself
 
 _Q = 2147483647
-_RECORD = "chunk long, kind int, doc binary, start binary, size binary"
+PASSAGE = 50  # the same on words: strings of so many words
+WORD_GRAM = 19  # 32 of these in a string
+_RECORD = "chunk long, kind int, doc binary, start binary, size binary, of binary"
 
 
 def chunk_column(doc: Column, chunks: int) -> Column:
@@ -64,18 +66,35 @@ def chunk_of(doc: np.ndarray, chunks: int) -> np.ndarray:
 
 def segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimum, content hash, row, start in the row, number of starts with INNER) of each segment."""
-    n = len(buf) - LENGTH + 1
+    return _segments(tn.prefix_hash(buf), off, LENGTH, GRAM)
+
+
+def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the word hashes before each word as in ``prefix_hash``, index of each row's first word); case is folded."""
+    low = tn.LOWER[buf]
+    words = tn.Words(low, off)
+    h = tn.span_hash(tn.prefix_hash(low), words.start, words.end)
+    return np.append(np.uint64(0), np.cumsum(h * tn.powers(len(h) + 1)[0][: len(h)])), words.first
+
+
+def word_segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``segments``, of strings of PASSAGE words; starts count words."""
+    return _segments(*word_hashes(buf, off), PASSAGE, WORD_GRAM)
+
+
+def _segments(pre: np.ndarray, off: np.ndarray, length: int, gram_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(pre) - length
+    span = length - gram_length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    pre = tn.prefix_hash(buf)
     _, down = tn.powers(len(pre))
-    gram = low = tn.mix((pre[GRAM:] - pre[:-GRAM]) * down[: len(pre) - GRAM])
+    gram = low = tn.mix((pre[gram_length:] - pre[:-gram_length]) * down[: len(pre) - gram_length])
     step = 1
-    while step < SPAN:
+    while step < span:
         low = np.minimum(low[:-step], low[step:])
         step *= 2
-    last = off[1:] - LENGTH  # the last start of each row
+    last = off[1:] - length  # the last start of each row
     has = last >= off[:-1]
     edge = np.zeros(n + 1, np.int8)
     np.add.at(edge, off[:-1][has], 1)
@@ -87,15 +106,15 @@ def segments(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = np.flatnonzero(valid & new)
     stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)) + 1
     size = stop - at
-    pieces = -(-size // SPAN)  # a longer run (of one repeated pattern) is cut
-    start = np.repeat(at, pieces) + (tn.ranges(np.zeros(len(at), np.int64), pieces) * SPAN)
-    size = np.minimum(np.repeat(stop, pieces) - start, SPAN)
+    pieces = -(-size // span)  # a longer run (of one repeated pattern) is cut
+    start = np.repeat(at, pieces) + (tn.ranges(np.zeros(len(at), np.int64), pieces) * span)
+    size = np.minimum(np.repeat(stop, pieces) - start, span)
     row = np.searchsorted(off, start, "right") - 1
     # If strings a < b of a segment are equal, the minimum is among the first b - a grams and
     # among the last: it begins a string before the last one and ends one after the first.
-    begins, ends = (np.append(0, np.cumsum(x)) for x in (gram[:n] == low, gram[SPAN - 1 :] == low))
+    begins, ends = (np.append(0, np.cumsum(x)) for x in (gram[:n] == low, gram[span - 1 :] == low))
     inner = (begins[start + size - 1] > begins[start]) & (ends[start + size] > ends[start + 1])
-    return low[start], tn.span_hash(pre, start, start + size - 1 + LENGTH), row, start - off[row], size + INNER * inner
+    return low[start], tn.span_hash(pre, start, start + size - 1 + length), row, start - off[row], size + INNER * inner
 
 
 def multikey_quicksort(columns: list[np.ndarray], small: int = 1 << 14) -> np.ndarray:
@@ -120,8 +139,8 @@ def multikey_quicksort(columns: list[np.ndarray], small: int = 1 << 14) -> np.nd
     return order
 
 
-def _first_of_equal(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(indices of the first of each content, indices of those that have an earlier one)."""
+def _first_of_equal(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(indices of the first of each content, indices of those that have an earlier one, the first of each of these)."""
     order = multikey_quicksort([*keys, doc, start])
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -130,7 +149,7 @@ def _first_of_equal(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray)
         new[1:] |= v[1:] != v[:-1]
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     later = (doc[order] != doc[head]) | (start[order] != start[head])
-    return order[new], order[later]
+    return order[new], order[later], head[later]
 
 
 def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -141,8 +160,9 @@ def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(g[a]), order[a:b]
 
 
-def _verdicts(kind: int, doc: np.ndarray, start: np.ndarray, size: np.ndarray, chunks: int) -> list[tuple]:
-    return [(c, kind, doc[i].tobytes(), start[i].astype(np.int32).tobytes(), (size[i] % INNER).astype(np.uint8).tobytes()) for c, i in _by_group(chunk_of(doc, chunks))]
+def _verdicts(kind: int, doc: np.ndarray, start: np.ndarray, size: np.ndarray, chunks: int, of: np.ndarray | None = None) -> list[tuple]:
+    """of: the documents copied, for words."""
+    return [(c, kind, doc[i].tobytes(), start[i].astype(np.int32).tobytes(), (size[i] % INNER).astype(np.uint8).tobytes(), b"" if of is None else of[i].tobytes()) for c, i in _by_group(chunk_of(doc, chunks))]
 
 
 def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
@@ -150,7 +170,7 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-_V = (["chunk", "kind", "doc", "start", "size"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+_V = (["chunk", "kind", "doc", "start", "size", "of"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()])
 _S = (["bucket", "kind", "doc", "start", "size", "key", "content"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()])
 _SEND = "bucket long, kind int, doc binary, start binary, size binary, key binary, content binary"
 
@@ -159,28 +179,28 @@ def _join(table: pa.Table, column: str, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype)
 
 
-def _passed_on(table: pa.Table, known: int, chunks: int) -> list[tuple]:
+def _passed_on(table: pa.Table, known: int, chunks: int, words: bool) -> list[tuple]:
     """Verdicts that tasks knew by themselves."""
     mine = table.filter(pc.less(table.column("kind"), 0))
     if not mine.num_rows:
         return []
-    return _verdicts(known, _join(mine, "doc", np.int64), _join(mine, "start", np.int32), _join(mine, "size", np.uint8), chunks)
+    return _verdicts(known, _join(mine, "doc", np.int64), _join(mine, "start", np.int32), _join(mine, "size", np.uint8), chunks, _join(mine, "key", np.int64) if words else None)
 
 
-def _sent(buckets: np.ndarray, firsts: np.ndarray, later: np.ndarray, doc, start, size, key, content, spread: int) -> list[tuple]:
+def _sent(buckets: np.ndarray, firsts: np.ndarray, later: np.ndarray, doc, start, size, key, content, spread: int, of: np.ndarray | None = None) -> list[tuple]:
     rows = [(b, 1, doc[i].tobytes(), start[i].astype(np.int32).tobytes(), size[i].astype(np.uint8).tobytes(), key[i].tobytes(), content[i].tobytes()) for b, x in _by_group(buckets) for i in (firsts[x],)]
     if len(later):
-        rows.append((int(doc[later[0]]) % spread, -1, doc[later].tobytes(), start[later].astype(np.int32).tobytes(), size[later].astype(np.uint8).tobytes(), b"", b""))
+        rows.append((int(doc[later[0]]) % spread, -1, doc[later].tobytes(), start[later].astype(np.int32).tobytes(), size[later].astype(np.uint8).tobytes(), b"" if of is None else of.tobytes(), b""))
     return rows
 
 
-def _segment_records(docs: DataFrame, buckets: int) -> DataFrame:
+def _segment_records(docs: DataFrame, buckets: int, words: bool) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for batch in it:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, buf, off in tn.slices(batch.column(1)):
-                low, content, row, start, size = segments(buf, off)
+                low, content, row, start, size = (word_segments if words else segments)(buf, off)
                 parts.append((low, content, ids[i + row], start.astype(np.int32), size.astype(np.uint8)))
         if not parts:
             return
@@ -188,25 +208,25 @@ def _segment_records(docs: DataFrame, buckets: int) -> DataFrame:
         parts.clear()
         if not len(low):
             return
-        firsts, later = _first_of_equal([low, content], doc, start)
+        firsts, later, of = _first_of_equal([low, content], doc, start)
         bucket = (low[firsts] % np.uint64(buckets)).astype(np.int64)
         key = (low // np.uint64(buckets)).astype(np.uint32)  # with the bucket, over 32 bits of the minimum
-        rows = _sent(bucket, firsts, later, doc, start, size, key, content, buckets)
+        rows = _sent(bucket, firsts, later, doc, start, size, key, content, buckets, doc[of] if words else None)
         for k in range(0, len(rows), 64):
             yield from _table(rows[k : k + 64], *_S).to_batches()
 
     return docs.mapInArrow(run, _SEND)
 
 
-def _judge_segments(sent: DataFrame, chunks: int) -> DataFrame:
+def _judge_segments(sent: DataFrame, chunks: int, words: bool) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        out = _passed_on(table, FULL, chunks)
+        out = _passed_on(table, FULL, chunks, words)
         mine = table.filter(pc.greater(table.column("kind"), 0))
         if mine.num_rows:
             key, content = _join(mine, "key", np.uint32), _join(mine, "content", np.uint64)
             doc, start, size = _join(mine, "doc", np.int64), _join(mine, "start", np.int32), _join(mine, "size", np.uint8)
-            firsts, later = _first_of_equal([key, content], doc, start)
-            out += _verdicts(FULL, doc[later], start[later], size[later], chunks)
+            firsts, later, of = _first_of_equal([key, content], doc, start)
+            out += _verdicts(FULL, doc[later], start[later], size[later], chunks, doc[of] if words else None)
             many = firsts[tn.repeated_keys(key[firsts]) | (size[firsts] >= INNER)]
             out += _verdicts(EXPAND, doc[many], start[many], size[many], chunks)
         return _table(out, *_V)
@@ -232,7 +252,7 @@ def _spans(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return kind, doc, start, size, {int(doc[a]): (int(a), int(b)) for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True)}
 
 
-def _suffixes(left: pa.Table, right: pa.Table) -> list[np.ndarray] | None:
+def _suffixes(left: pa.Table, right: pa.Table, words: bool) -> list[np.ndarray] | None:
     """lead, content, doc, start of the suffixes of all expanded segments."""
     kind, _, start, size, where = _spans(right)
     parts, seen = [], set()
@@ -244,6 +264,12 @@ def _suffixes(left: pa.Table, right: pa.Table) -> list[np.ndarray] | None:
         pick = np.flatnonzero(kind[a:b] == EXPAND) + a
         buf = np.frombuffer(data, np.uint8)
         s = tn.ranges(start[pick], size[pick])
+        if words:
+            pre, _ = word_hashes(buf, np.array([0, len(buf)]))
+            s = s[s + PASSAGE < len(pre)]
+            h = tn.span_hash(pre, s, s + PASSAGE)
+            parts.append((h, h, np.full(len(s), i, np.int64), s))
+            continue
         s = s[s + LENGTH <= len(buf)]
         if not len(s):
             continue
@@ -279,33 +305,36 @@ def _sampled_leads(docs: DataFrame, share: float) -> np.ndarray:
     return np.sort(np.array([r[0] for r in docs.mapInArrow(run, "lead long").collect()], np.int64).view(np.uint64))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """(documents dealt to chunks, verdicts on starts by chunk, number of chunks)."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """(documents dealt to chunks, verdicts on starts by chunk, number of chunks).
+
+    words: of strings of PASSAGE words instead of LENGTH bytes, ordered by their hash, and each verdict names the document copied.
+    """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(shuffle_width(spark), -(-total // BUCKET_BYTES))
-    sample = _sampled_leads(src, SAMPLE / max(total, SAMPLE))
+    sample = np.linspace(0, 2.0**64, chunks + 1)[:-1].astype(np.uint64) if words else _sampled_leads(src, SAMPLE / max(total, SAMPLE))
     splitters = sample[np.linspace(0, len(sample), chunks + 1).astype(int)[1:-1]] if len(sample) else np.zeros(0, np.uint64)
-    first = written(_judge_segments(_segment_records(src, chunks), chunks), "suffixes")
+    first = written(_judge_segments(_segment_records(src, chunks, words), chunks, words), "suffixes")
     dealt = src.withColumn("chunk", chunk_column(F.col("id"), chunks)).repartition(chunks, "chunk")
 
     def expand(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = _suffixes(left, right)
+        got = _suffixes(left, right, words)
         if got is None:
             return _table([], *_S)
         lead, content, doc, start = got
-        firsts, later = _first_of_equal([lead, content], doc, start)
+        firsts, later, of = _first_of_equal([lead, content], doc, start)
         ones = np.ones(len(doc), np.uint8)
-        return _table(_sent(range_bucket(splitters, lead[firsts], content[firsts]), firsts, later, doc, start, ones, lead, content, chunks), *_S)
+        return _table(_sent(range_bucket(splitters, lead[firsts], content[firsts]), firsts, later, doc, start, ones, lead, content, chunks, doc[of] if words else None), *_S)
 
     def judge(table: pa.Table) -> pa.Table:
-        out = _passed_on(table, START, chunks)
+        out = _passed_on(table, START, chunks, words)
         mine = table.filter(pc.greater(table.column("kind"), 0))
         if mine.num_rows:
             doc, start = _join(mine, "doc", np.int64), _join(mine, "start", np.int32)
-            _, later = _first_of_equal([_join(mine, "key", np.uint64), _join(mine, "content", np.uint64)], doc, start)
-            out += _verdicts(START, doc[later], start[later], np.ones(len(later), np.uint8), chunks)
+            _, later, of = _first_of_equal([_join(mine, "key", np.uint64), _join(mine, "content", np.uint64)], doc, start)
+            out += _verdicts(START, doc[later], start[later], np.ones(len(later), np.uint8), chunks, doc[of] if words else None)
         return _table(out, *_V)
 
     wanted = first.where(F.col("kind") == EXPAND)
