@@ -15,74 +15,46 @@ several pieces of one length takes a place does.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .bpe import byte_letters
 from .store import written
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: Cached units; a full cache is kept until the next is full, results do not depend on it.
-CACHE = 400_000
-
-_UNIT = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Fixed value: the byte-level pattern that cuts a text into pieces, each encoded by itself.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Other white space than the ASCII class, or what may be a special token: the tokenizer then sees the text in one.
-_WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=2)
-def unit_encoder(path: str) -> Callable[[bytes], bytes]:
-    """text -> ids as little-endian 32-bit integers.
+def text_encoder(path: str) -> Callable[[str], np.ndarray]:
+    """text -> ids, of a byte-level tokenizer file in the ``tokenizers`` JSON format.
 
-    The byte-level pattern never joins a sign with white space after it, so a text is encoded unit
-    by unit (white space and the signs after it), units piece by piece, and what was seen before is looked up.
+    Its merges come in the order of the ids they make, so the ids are the ranks that ``tiktoken`` merges
+    by, which encodes such vocabularies several times as fast; tests hold both equal.
     """
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    caches: list[dict[bytes, bytes]] = [{}, {}]
-    pieces: list[dict[str, bytes]] = [{}, {}]
-
-    def ids(data: bytes) -> bytes:
-        return np.array(tok.encode(data.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def piece(p: str) -> bytes:
-        got = pieces[0].get(p) or pieces[1].get(p)
-        if got is None:
-            got = ids(p.encode())
-            if len(p) < 64:
-                if len(pieces[0]) >= CACHE // 2:
-                    pieces[:] = [{}, pieces[0]]
-                pieces[0][p] = got
-        return got
-
-    def unit(u: bytes) -> bytes:
-        got = caches[1].get(u) or b"".join([piece(p) for p in _PIECE.findall(u.decode())])
-        if len(u) < 64:
-            if len(caches[0]) >= CACHE:
-                caches[:] = [{}, caches[0]]
-            caches[0][u] = got
-        return got
-
-    def encode(data: bytes) -> bytes:
-        if _WHOLE.search(data):
-            return ids(data)
-        find = caches[0].get
-        return b"".join([find(u) or unit(u) for u in _UNIT.findall(data)])
-
-    return encode
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab = spec["model"]["vocab"]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if made != sorted(made) or spec["normalizer"] or not spec["pre_tokenizer"].get("use_regex"):
+        raise ValueError(f"not a plain byte-level vocabulary: {path}")
+    to_byte = {c: b for b, c in enumerate(byte_letters())}
+    ranks = {bytes(to_byte[c] for c in t): i for t, i in vocab.items()}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    enc = tiktoken.Encoding("file", pat_str=PIECE, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: enc.encode_to_numpy(text, allowed_special="all")
 
 
 def cut_lengths(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -96,13 +68,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     """doc_id, piece, start, length, ids_crc32, and task and nth: place among the task's pieces of that length."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = unit_encoder(path), TaskContext.get().partitionId()
+        encode, task = text_encoder(path), TaskContext.get().partitionId()
+        closing = CLOSING_ID.to_bytes(4, "little")
         seen = np.zeros(capacity + 1, np.int64)
         for batch in it:
             rows: list[tuple] = []
             texts = tn.text_array(batch.column(1)).cast(pa.large_binary())
             for i, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = encode(t.as_py()) + CLOSING_ID.to_bytes(4, "little")
+                ids = encode(t.as_py().decode("utf-8", "replace")).astype("<u4").tobytes() + closing
                 at = 0
                 for k, n in enumerate(cut_lengths(len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + n)]

@@ -5,16 +5,18 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import best_two_fit, cut_lengths, pack_documents, unit_encoder
+from tessera.llm.packing import best_two_fit, cut_lengths, pack_documents, text_encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 HARD = ["", " ", "a", "a b", "a  b", "a\n\nb", "a  b\n\n c", "x　\n y", " lead", "trail \n", "it's 'tis don't", "<|endoftext|> x", "é 日本\t\tz", "1234 56,7", "\x1c a", "  \n\n  q"]
 
 
-def test_units_encode_as_whole_texts():
-    enc, lib = unit_encoder(PATH), Tokenizer.from_file(PATH)
-    for t in [*HARD, " ".join(HARD), "\n".join(HARD[:5])]:
-        assert np.frombuffer(enc(t.encode()), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+def test_texts_encode_as_the_library_does():
+    enc, lib = text_encoder(PATH), Tokenizer.from_file(PATH)
+    long = ["x" * 50_000, "^" * 50_000, " " * 50_000 + "a", "\n" * 50_000, "日本" * 20_000, "a1 " * 20_000]
+    every = ["".join(f"a{chr(c)}b1{chr(c)} {chr(c)}!" for c in range(k, k + 512) if not 0xD800 <= c < 0xE000) for k in range(0, 0x20000, 512)]
+    for t in [*HARD, " ".join(HARD), "\n".join(HARD[:5]), *long, *every]:
+        assert enc(t).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t[:40])
 
 
 def test_pieces_and_places(docs, rows, empty):
