@@ -7,9 +7,9 @@ shares of votes by class and the share of good documents, and every document get
 probability of its pattern.
 
 Defined cases: a null text counts as empty; an empty text has zero statistics and
-fails the base test; repeated rows are scored each for itself; an empty table gives an
-empty result; columns of the input with clashing names are kept out of the result of
-``statistics`` (it selects the id and the text only).
+fails the base test; repeated rows are scored each for itself, and so are rows with a null id, which
+stays null; an empty table gives an empty result; other columns, whatever their names, are not
+read by ``quality_rules`` and come through ``accepted`` as they are.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textnum as tn
 from .store import written
@@ -30,8 +31,9 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 RULES = ("length", "symbols", "letters", "lines", "repeats", "word_length", "upper")
 THRESHOLD = 0.5
-#: Weight of, and expected share of bad votes, abstentions and good votes on good and on bad documents.
-PRIOR = 3.0
+#: Documents of each class that the expected shares stand for (a few, whatever the corpus holds), and
+#: these shares of bad votes, abstentions and good votes on good and on bad documents.
+PSEUDO = 20.0
 PRIOR_GOOD, PRIOR_BAD = (0.004, 0.03, 0.966), (0.25, 0.05, 0.7)
 
 _SYMBOL = np.zeros(256, bool)
@@ -84,8 +86,13 @@ def text_statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.stack([n_words, chars, symbols, dup, repeat, lines, upper, letters], 1).astype(np.int64)
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, the columns ``keep`` and STATS of every whole text."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id and STATS of every whole text."""
+    return _measured(docs.select(F.col(id_col), F.col(text_col).alias("__text")))
+
+
+def _measured(src: DataFrame) -> DataFrame:
+    """src with STATS in place of its last column, the text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -93,9 +100,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             stats = np.concatenate(parts) if parts else np.zeros((0, len(STATS)), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(stats[:, k]) for k in range(len(STATS)))], names=names)
 
-    src = docs.select(F.col(id_col), *keep, F.col(text_col).alias("__text"))
     names = [*src.columns[:-1], *STATS]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + [f"{s} long" for s in STATS])
+    schema = StructType([*src.schema.fields[:-1], *(StructField(s, LongType()) for s in STATS)])
     return src.mapInArrow(run, schema)
 
 
@@ -122,9 +128,9 @@ def votes() -> dict[str, Column]:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, float, np.ndarray]:
     """(share of votes bad, none, good by rule and class (good, bad); share of good documents; posterior of each pattern).
 
-    Documents with a bad vote start as probably bad. The rules are written to be right, which
-    PRIOR_GOOD and PRIOR_BAD state; they count ``PRIOR`` times the documents of a class, so the
-    estimates keep to the rules' meaning where kinds of bad documents differ.
+    Documents with a bad vote start as probably bad, and ``PSEUDO`` documents of each class vote as
+    PRIOR_GOOD and PRIOR_BAD say, which names the classes and smooths shares of small tables. Everything
+    else comes from the counts: a rule whose bad votes the others contradict loses its weight.
     """
     bad_vote = (patterns == -1).any(1)
     posterior = np.where(bad_vote, 0.1, 0.9)
@@ -133,9 +139,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     for _ in range(rounds):
         logs = []
         for c, (weight, mean) in enumerate(((counts * posterior, PRIOR_GOOD), (counts * (1 - posterior), PRIOR_BAD))):
-            total = weight.sum() + 1
             for k in range(patterns.shape[1]):
-                shares[k, c] = (np.bincount(which[:, k], weights=weight, minlength=3) + PRIOR * total * np.array(mean)) / (weight.sum() + PRIOR * total)
+                shares[k, c] = (np.bincount(which[:, k], weights=weight, minlength=3) + PSEUDO * np.array(mean)) / (weight.sum() + PSEUDO)
             logs.append(np.log(shares[np.arange(patterns.shape[1]), c, which]).sum(1))
         prior = float((counts @ posterior + 1) / (counts.sum() + 2))
         new = 1 / (1 + np.exp(np.clip(np.log1p(-prior) + logs[1] - np.log(prior) - logs[0], -700, 700)))
@@ -165,6 +170,13 @@ def judged(stats: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The verdict on every document; see the module for its columns and defined cases."""
-    return judged(written(statistics(docs, id_col, text_col, keep), "quality"), threshold)
+    return judged(written(statistics(docs, id_col, text_col), "quality"), threshold)
+
+
+def accepted(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that the rules reject: rows travel with their statistics, so nothing is joined."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    stats = written(_measured(docs.select(row, F.col(text_col).cast("string").alias("__text"))), "quality")
+    return judged(stats, threshold).where("kept").select("row.*")
