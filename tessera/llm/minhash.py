@@ -1,19 +1,21 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Every document becomes the set of its distinct word shingles. Documents with equal
-   sets form one class, so copies are never paired.
-2. Class representatives are banded. A band key shared by several of them proposes
+   sets form one class, known by the set's 64-bit hash, so copies are never paired.
+2. Classes are banded. A band key shared by several of them proposes
    pairs with the least and the greatest member of its bucket (linear in the bucket).
 3. Signatures of proposed pairs are compared in batches; after each batch a pair is
    pruned once the posterior probability of reaching the threshold is under ``MISS``.
 4. Survivors are confirmed on their full sets; confirmed links make components.
-5. Larger buckets that still span several components go through exact comparison in
-   blocks: what is outside a bucket's main component meets the blocks of its group.
+5. Larger buckets that still span several components are compared in blocks: what is
+   outside a bucket's main component meets the blocks of its group, by signatures and the
+   same pruning first; blocks of survivors then compare full sets.
 
 Defined cases: null and empty texts have no shingles, link with nothing and stay; a
-text of fewer words than a shingle is one shingle; repeated rows fall in one class and
-share its component; an empty table gives an empty result; only the id and text columns
-are read, whatever else the table holds.
+text of fewer words than a shingle is one shingle; rows with one id are one document, so their
+texts' components are one; rows with a null id are documents of their own, whose component is
+null (and which stay) where no id is reachable; an empty table gives an empty result; only the
+id and text columns are read, whatever else the table holds.
 """
 
 from __future__ import annotations
@@ -28,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .store import written
+from .store import NO_ID, id_again, id_and_text, written
 
 ROWS, BANDS = 5, 32
 BATCH = 32
 MISS = 1e-6
 SIMILARITY = 80
-BLOCK = 256
+BLOCK = 512
 
 _rng = np.random.RandomState(97)
 _MUL = _rng.randint(1, 1 << 62, ROWS * BANDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,41 +75,40 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return tn.fold([np.arange(BANDS, dtype=np.uint64), *rows.T])
 
 
-def features(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, c1 and c2 (which set), bands, sig of every document."""
+def set_hashes(s: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    x = tn.mix(s)
+    return int((tn.fold([np.bitwise_xor.reduce(x)[None], x.sum(dtype=np.uint64)[None], np.array([len(s)], np.uint64)])).view(np.int64)[0]) if len(s) else 0
+
+
+def features(src: DataFrame, width: int) -> DataFrame:
+    """id, n_shingles, node (the set's hash), bands, sig of every row of id and text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            n, c1, c2, bands, sigs = [], [], [], [], []
+            n, node, bands, sigs = [], [], [], []
             for _, _, buf, off in tn.slices(batch.column(1)):
                 for s in shingle_sets(buf, off, width):
                     n.append(len(s))
-                    if len(s):
-                        c1.append(int(np.bitwise_xor.reduce(tn.mix(s)).view(np.int64)))
-                        c2.append(int(tn.mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)))
-                        sig = signature(s)
-                        bands.append(band_keys(sig).view(np.int64))
-                        sigs.append(sig.astype(np.uint16).tobytes())
-                    else:
-                        c1.append(0)
-                        c2.append(0)
-                        bands.append(None)
-                        sigs.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["id", "n_shingles", "c1", "c2", "bands", "sig"],
-            )
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary")
-
-
-def sets_of(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+                    node.append(set_hashes(s))
+                    sig = signature(s) if len(s) else None
+                    bands.append(None if sig is None else band_keys(sig).view(np.int64))
+                    sigs.append(None if sig is None else sig.astype(np.uint16).tobytes())
+            cols = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "n_shingles", "node", "bands", "sig"])
+
+    return src.mapInArrow(run, "id long, n_shingles long, node long, bands array<long>, sig binary")
+
+
+def sets_of(src: DataFrame, width: int) -> DataFrame:
+    """id (the set's hash) and set of every text."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sets = [s.tobytes() for _, _, buf, off in tn.slices(batch.column(1)) for s in shingle_sets(buf, off, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+            sets = [s for _, _, buf, off in tn.slices(batch.column(1)) for s in shingle_sets(buf, off, width)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_hashes(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, set binary")
+    return src.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
 def least_matches(n: int, similarity: float, miss: float = MISS) -> int:
@@ -120,22 +121,33 @@ def least_matches(n: int, similarity: float, miss: float = MISS) -> int:
     return n
 
 
+def _bounds(percent: int) -> list[tuple[int, int]]:
+    return [(k, least_matches(k, percent / 100)) for k in range(BATCH, ROWS * BANDS + 1, BATCH)]
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, ROWS * BANDS)
+
+
+def survivors(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the pairs (row a of x, row b of y) no batch of signatures prunes."""
+    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for k, least in bounds:
+        matches[alive] += (x[a[alive], k - BATCH : k] == y[b[alive], k - BATCH : k]).sum(1)
+        alive = alive[matches[alive] >= least]
+    return alive
+
+
 def plausible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that no batch of their signatures prunes."""
-    n = ROWS * BANDS
-    bound = [(k, least_matches(k, percent / 100)) for k in range(BATCH, n + 1, BATCH)]
+    bounds = _bounds(percent)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, n) for k in (2, 3))
-            alive = np.arange(len(x))
-            matches = np.zeros(len(x), np.int64)
-            for k, least in bound:
-                matches[alive] += (x[alive, k - BATCH : k] == y[alive, k - BATCH : k]).sum(1)
-                alive = alive[matches[alive] >= least]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive))], names=["a", "b"])
+            if batch.num_rows:
+                at = np.arange(batch.num_rows)
+                alive = pa.array(survivors(_signatures(batch.column(2)), _signatures(batch.column(3)), at, at, bounds))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(alive), batch.column(1).take(alive)], names=["a", "b"])
 
     s = sigs.select("id", "sig")
     wide = pairs.join(s.withColumnsRenamed({"id": "b", "sig": "y"}), "b").join(s.withColumnsRenamed({"id": "a", "sig": "x"}), "a")
@@ -158,50 +170,97 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _signed(sets: DataFrame) -> DataFrame:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sigs = [signature(np.frombuffer(x.as_py(), np.uint64)).astype(np.uint16).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], names=["id", "sig"])
+
+    return sets.select("id", "set").mapInArrow(run, "id long, sig binary")
+
+
 def block_links(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that share buckets; named: (key, id, comp).
 
     A bucket's main component is its most frequent. All members of the buckets of one main component
-    form a group, dealt to blocks of about BLOCK; members outside the main component meet every block,
-    where an index of its shingles gives exact similarities. A block returns one link for a
-    document and component.
+    form a group, dealt to blocks of about BLOCK, and so are its members outside the main component. A block
+    meets a block of these by signatures; what the posterior leaves is compared exactly, where an index of the
+    block's shingles gives similarities, one link for a document and component. Only signatures go to all
+    blocks; full sets go where a signature found a partner. A task holds two blocks.
     """
     main = named.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", -F.col("comp"))).alias("m")).select("key", (-F.col("m.col2")).alias("main"))
     members = written(named.join(main, "key").groupBy("main", "id", "comp").agg(F.lit(1).alias("n")).select("main", "id", "comp"), "minhash")
-    blocks = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    full = members.join(blocks, "main").join(sets, "id")
-    left = full.select("main", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "comp", "set")
-    right = full.where("comp <> main").select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "comp", "set").toDF("of", "at", "x", "xc", "xs")
+    sizes = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK).cast("int").alias("parts"))
+    place = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = members.join(sizes, "main").withColumns({"block": place, "part": part})
+    sigs = written(_signed(sets.join(members.select("id").distinct(), "id", "left_semi")), "minhash")
+
+    key = ["main", "block", "part"]
+
+    def sides() -> tuple[DataFrame, DataFrame]:
+        with_value = dealt.join(sigs, "id")
+        all_parts, all_blocks = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
+        left = with_value.select("main", "block", F.explode(all_parts).alias("part"), "id", "comp", "sig")
+        right = with_value.where("comp <> main").select("main", F.explode(all_blocks).alias("block"), "part", "id", "comp", "sig")
+        return left, right.toDF(*(f"{c}_" for c in right.columns))
+
+    bounds = _bounds(percent)
+
+    def sift(mine: pa.Table, others: pa.Table) -> pa.Table:
+        """Of a block and a part of the others: the ids on either side that have a plausible partner."""
+        ids, comps, found = mine.column("id").to_numpy(), mine.column("comp").to_numpy(), []
+        if mine.num_rows and others.num_rows:
+            x, y = _signatures(mine.column("sig")), _signatures(others.column("sig_"))
+            oids, ocomps = others.column("id_").to_numpy(), others.column("comp_").to_numpy()
+            every = np.arange(len(ids))
+            for k in range(len(oids)):
+                a = every[comps != ocomps[k]]
+                hit = a[survivors(x, y, a, np.full(len(a), k), bounds)]
+                found += [(int(i), int(oids[k])) for i in ids[hit[np.unique(comps[hit], return_index=True)[1]]][:1]]
+        if not found:
+            return pa.table({c: pa.array([], pa.int64()) for c in [*key, "id"]})
+        theirs = sorted({b for _, b in found})
+        head = [mine.column(c)[0].as_py() for c in key]
+        return pa.table({**{c: pa.array([v] * len(theirs), pa.int64()) for c, v in zip(key, head, strict=True)}, "id": pa.array(theirs, pa.int64())})
+
+    left, right = sides()
+    hopeful = written(left.groupBy(*key).cogroup(right.groupBy(*(f"{c}_" for c in key))).applyInArrow(sift, "main long, block long, part long, id long"), "minhash")
 
     def run(mine: pa.Table, others: pa.Table) -> pa.Table:
         ids, comps = mine.column("id").to_numpy(), mine.column("comp").to_numpy()
-        sets_ = [np.frombuffer(x.as_py(), np.uint64) for x in mine.column("set")]
-        size = np.array([len(x) for x in sets_], np.int64)
-        keys = np.concatenate(sets_) if sets_ else np.zeros(0, np.uint64)
-        order = np.argsort(keys)
-        keys, owner = keys[order], np.repeat(np.arange(len(sets_)), size)[order]
         a, b = [], []
-        for i, c, x in zip(others.column("x").to_pylist(), others.column("xc").to_pylist(), others.column("xs"), strict=True):
-            q = np.frombuffer(x.as_py(), np.uint64)
-            lo, hi = np.searchsorted(keys, q, "left"), np.searchsorted(keys, q, "right")
-            both = np.bincount(owner[tn.ranges(lo, hi - lo)], minlength=len(size))
-            hit = np.flatnonzero((100 * both >= percent * (size + len(q) - both)) & (both > 0) & (comps != c))
-            hit = hit[np.unique(comps[hit], return_index=True)[1]]
-            a += [i] * len(hit)
-            b += ids[hit].tolist()
+        if others.num_rows:
+            sets_ = [np.frombuffer(x.as_py(), np.uint64) for x in mine.column("set")]
+            size = np.array([len(x) for x in sets_], np.int64)
+            keys = np.concatenate(sets_) if sets_ else np.zeros(0, np.uint64)
+            order = np.argsort(keys)
+            keys, owner = keys[order], np.repeat(np.arange(len(sets_)), size)[order]
+            for i, c, x in zip(others.column("id_").to_pylist(), others.column("comp_").to_pylist(), others.column("set_"), strict=True):
+                q = np.frombuffer(x.as_py(), np.uint64)
+                lo, hi = np.searchsorted(keys, q, "left"), np.searchsorted(keys, q, "right")
+                both = np.bincount(owner[tn.ranges(lo, hi - lo)], minlength=len(size))
+                hit = np.flatnonzero((100 * both >= percent * (size + len(q) - both)) & (both > 0) & (comps != c))
+                hit = hit[np.unique(comps[hit], return_index=True)[1]]
+                a += [i] * len(hit)
+                b += ids[hit].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return left.groupBy("main", "block").cogroup(right.groupBy("of", "at")).applyInArrow(run, "a long, b long")
+    asked = hopeful.select(*key, "id").join(members.select("id", "main", "comp"), ["id", "main"]).join(sets, "id").select(*key, "id", "comp", "set")
+    asked = asked.toDF(*(f"{c}_" for c in asked.columns))
+    blocks = dealt.drop("part").join(hopeful.select(*key).distinct(), ["main", "block"]).join(sets, "id").select(*key, "id", "comp", "set")
+    return blocks.groupBy(*key).cogroup(asked.groupBy(*(f"{c}_" for c in key))).applyInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component): the least id reachable, for every id that has an edge.
 
-    Minimum labels of neighbours, then one pointer jump, until nothing changes.
+    Minimum labels of neighbours, then one pointer jump, until nothing changes: labels only fall, and each
+    round at least halves the pointers left, so rounds grow with the logarithm of a component's width.
     """
     both = written(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).union(edges.select("b", "a")).where("id <> to").distinct(), name)
     labels = written(both.groupBy("id").agg(F.min("to").alias("low")).select("id", F.least("id", "low").alias("component")), name)
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("to"), "component"), "to").groupBy("id").agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("at"))
         jump = labels.select(F.col("id").alias("at"), F.col("component").alias("far"))
@@ -209,16 +268,23 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         labels = new.select("id", "component")
         if new.where("was <> component").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
+
+
+def _same_id(full: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of rows with one id."""
+    rows = full.where(F.col("id") != NO_ID).select("id", "node")
+    several = rows.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
+    return rows.join(several, "id").where("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (least id reachable), kept (id = component_id) of every document."""
-    feats = written(features(docs, width, id_col, text_col), "minhash")
+    source = id_and_text(docs, id_col, text_col)
+    feats = written(features(source, width), "minhash")
     full = feats.where("n_shingles > 0")
-    classes = full.groupBy("c1", "c2", "n_shingles").agg(F.min("id").alias("rep"))
-    reps = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    rows = reps.select(F.explode("bands").alias("key"), "id")
+    classes = full.groupBy("node").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.min_by("sig", "id").alias("sig"))
+    classes = written(classes, "minhash")
+    rows = classes.select(F.explode("bands").alias("key"), F.col("node").alias("id"))
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high")
     multi = written(rows.join(shared, "key"), "minhash")
     star = (
@@ -226,24 +292,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
         .groupBy("a", "b").agg(F.count("*").alias("bands"))
     )
     star = written(star, "minhash")
-    ids = multi.select("id").distinct()
-    sigs = written(full.select("id", "sig").join(ids, "id", "left_semi").dropDuplicates(["id"]), "minhash")
+    sigs = classes.select(F.col("node").alias("id"), "sig").join(multi.select("id").distinct(), "id", "left_semi")
     best = star.groupBy("b").agg(F.max(F.struct("bands", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
     hopeful = written(plausible(star.select("a", "b"), sigs, percent), "minhash")
-    sets = None
-    links: list[DataFrame] = []
+    links: list[DataFrame] = [written(_same_id(full), "minhash")]
 
-    def verify(pairs: DataFrame) -> None:
-        links.append(written(confirmed(pairs, sets, percent), "minhash"))
+    def gathered(nodes: DataFrame) -> DataFrame:
+        """Full sets of these classes, from the texts of their representatives."""
+        wanted = nodes.join(classes.select(F.col("node").alias("id"), "rep"), "id")
+        texts = source.join(wanted.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
+        return written(sets_of(texts, width).join(nodes.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "minhash")
 
     def labels() -> DataFrame:
         return components(reduce(DataFrame.union, links), "minhash")
 
-    # Signatures of all that share a bucket; full sets of those with a plausible partner.
-    near = hopeful.select(F.col("a").alias("id")).union(hopeful.select("b")).distinct()
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(sets_of(source.join(near.hint("merge"), "id", "left_semi"), width, "id", "text").dropDuplicates(["id"]), "minhash")
-    verify(hopeful.join(best, ["a", "b"], "left_semi"))
+    sets = gathered(hopeful.select(F.col("a").alias("id")).union(hopeful.select("b")).distinct())
+    links.append(written(confirmed(hopeful.join(best, ["a", "b"], "left_semi"), sets, percent), "minhash"))
     comp = labels()
 
     def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -254,16 +318,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
 
     more = written(apart(hopeful, comp).join(best, ["a", "b"], "left_anti"), "minhash")
     if not more.isEmpty():
-        verify(more)
+        links.append(written(confirmed(more, sets, percent), "minhash"))
         comp = labels()
     named = multi.where("size > 3").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("key")
     named = written(named.join(open_keys, "key", "left_semi"), "minhash")
     if not named.isEmpty():
-        lacking = named.select("id").distinct().join(sets, "id", "left_anti")
-        sets = sets.union(written(sets_of(source.join(lacking.hint("merge"), "id", "left_semi"), width, "id", "text").dropDuplicates(["id"]), "minhash"))
+        sets = sets.union(gathered(named.select("id").distinct().join(sets, "id", "left_anti")))
         links.append(written(block_links(named, sets, percent), "minhash"))
         comp = labels()
-    by_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = feats.select("id", "n_shingles", "c1", "c2").join(by_class, ["c1", "c2", "n_shingles"], "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
+    reached = classes.select("node", "rep").join(comp.withColumnRenamed("id", "node"), "node")
+    least = reached.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_node = reached.join(least, "component").select("node", "component_id")
+    # a class without links has the least id of its own rows
+    by_node = classes.select("node", "rep").join(by_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    out = feats.select("id", "n_shingles", "node").join(by_node, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
+    return out.select(id_again("id").alias(id_col), "n_shingles", id_again("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))

@@ -6,18 +6,52 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Stands for a null id inside an operator, so rows without one come after all others.
+NO_ID = (1 << 63) - 1
 
 #: Used only where the session names no spark.checkpoint.dir, as in local tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder where it is unset."""
+    """spark.checkpoint.dir of the session; a local folder where it is unset and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return folder or f"file://{LOCAL_FOLDER}"
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def id_of(id_col: str) -> Column:
+    return F.coalesce(named(id_col).cast("long"), F.lit(NO_ID))
+
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (NO_ID for null) and text of docs, whatever else it holds."""
+    return docs.select(id_of(id_col).alias("id"), named(text_col).cast("string").alias("text"))
+
+
+def id_again(column: Column | str) -> Column:
+    """The id that ``id_of`` stood for."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(c != NO_ID, c)
+
+
+def free_name(wanted: str, columns: list[str]) -> str:
+    """wanted, lengthened until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once, as a Parquet table in the shared folder; it outlives lost executors."""
     spark = df.sparkSession

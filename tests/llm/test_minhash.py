@@ -55,3 +55,29 @@ def test_components_of_a_long_path(spark):
 def test_empty_table_and_bounds(empty):
     assert near_duplicates(empty).count() == 0
     assert 0 < least_matches(32, 0.8) < 26 and least_matches(160, 0.8) > 80
+
+
+def test_buckets_of_unlike_documents_are_compared_in_blocks(spark, monkeypatch):
+    """Many documents with one long common part share band keys without being alike; a few pairs of them are."""
+    monkeypatch.setattr("tessera.llm.minhash.BLOCK", 8)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(k, " ".join(common + [f"u{k}x{j}" for j in range(22)]), "s") for k in range(40)]
+    rows += [(100 + k, " ".join(common + [f"u{k}x{j}" for j in range(21)] + [f"v{k}"]), "s") for k in range(0, 40, 3)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string"), width=2).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 2).items()}
+
+
+def test_repeated_and_null_ids_and_clashing_names(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(120)) for x in "abc")
+    rows = [(1, a, 0), (1, b, 0), (5, a + " x", 0), (7, b + " y", 0), (None, c, 0), (None, c + " z", 0), (None, a + " w", 0), (None, None, 0), (9, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(docs).collect())
+    # a null id stays where it reaches no id, and goes where it does
+    assert got == sorted([(1, 1, True), (1, 1, True), (5, 1, False), (7, 1, False), (0, 0, True), (0, 0, True), (0, 1, False), (0, 0, True), (9, 9, True)])
+
+
+def test_megabyte_texts(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, long), (2, long + " more"), (3, "x" * 2_000_000), (4, "x" * 2_000_000), (5, "y" * 2_000_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (299_996, 1), 2: (299_997, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5)}
