@@ -5,11 +5,13 @@ take its right part, or the last part of that, first. ``lookahead`` follows such
 merge list, which bounds how many symbols after a token can change it. The encoder buffers
 a few times that many symbols, merges them, emits the tokens that end before the lookahead
 (a token edge that no merge crosses splits the problem) and keeps the rest, so memory
-does not grow with a piece. The decoder turns tokens to bytes to text with an incremental
-UTF-8 state machine.
+does not grow with a piece. Every piece of a text runs through this encoder, and a text goes through it in
+runs of words of about ``BLOCK`` bytes; words seen before come from a cache of bounded size. The
+decoder is fed token by token or word by word and gives text back as soon as it is stable: with an incremental
+UTF-8 state machine for byte-level files, with a held space for files without a decoder.
 
 Defined cases: a null text counts as empty; an empty text has no tokens and decodes to
-an empty text; repeated rows are encoded each for itself; an empty table gives an empty
+an empty text; repeated rows are encoded each for itself, and so are rows with a null id, which stays null; an empty table gives an empty
 result; only the id and text columns are read.
 """
 
@@ -19,6 +21,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -27,12 +30,15 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .store import free_name, named
 
 #: Entries of words and of pieces seen; a full cache is kept until the next is full, results do not depend on it.
 CACHE = 250_000
+#: Bytes of a text whose words are looked up at a time.
+BLOCK = 1 << 16
+_GAP = re.compile(rb"[\t-\r ]")
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -66,6 +72,19 @@ def lookahead(merges: list[tuple[str, str]], end: str = "") -> int:
     return most + 1
 
 
+class SpacedDecoder:
+    """Text of tokens with a space between: the space after a token is held until another comes."""
+
+    held = b""
+
+    def feed(self, tokens: bytes) -> bytes:
+        """tokens: whole tokens, each with a space after it."""
+        if not tokens:
+            return b""
+        out, self.held = self.held + tokens[:-1], b" "
+        return out
+
+
 class Encoder:
     """Encodes pieces of a tokenizer file in the ``tokenizers`` JSON format."""
 
@@ -154,15 +173,11 @@ class Encoder:
         got = self.pieces.get(text) or self.old_pieces.get(text)
         if got is None:
             letters = self.letters
-            symbols = [letters[b] for b in text.encode()]
-            if len(symbols) < 64:
-                symbols[-1] += self.end
-                got = tuple([self.ids[t] for t in self.merge(symbols)])
+            got = tuple([self.ids[t] for t in self.stream([letters[b] for b in text.encode()])])
+            if len(text) < 64:
                 if len(self.pieces) >= CACHE:
                     self.old_pieces, self.pieces = self.pieces, {}
                 self.pieces[text] = got
-            else:
-                got = tuple(self.ids[t] for t in self.stream(symbols))
         return got
 
     def _word(self, word: bytes) -> tuple[bytes, bytes]:
@@ -188,13 +203,11 @@ class Encoder:
     def digest(self, data: bytes) -> tuple[int, str, str]:
         """(number of ids, sha256 of the ids, sha256 of the decoded text) of a whole text."""
         ids, text = hashlib.sha256(), hashlib.sha256()
-        n, held = 0, b""
+        n, decoder = 0, SpacedDecoder()
         for i, t in self.parts(data):
             n += len(i)
             ids.update(i)
-            if t:
-                text.update(held + t[:-1])
-                held = b" "
+            text.update(decoder.feed(t))
         return n // 4, ids.hexdigest(), text.hexdigest()
 
     def parts(self, data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -209,11 +222,14 @@ class Encoder:
         yield from self._run(data)
 
     def _run(self, data: bytes) -> Iterator[tuple[bytes, bytes]]:
-        words, miss = data.split(), self._word
-        for k in range(0, len(words), 1 << 14):
+        miss, at = self._word, 0
+        while at < len(data):
+            gap = _GAP.search(data, at + BLOCK)
+            end = gap.start() if gap else len(data)
             cache = self.cache.get  # a full cache is put away meanwhile; then misses look in both
-            got = [cache(w) or miss(w) for w in words[k : k + (1 << 14)]]
+            got = [cache(w) or miss(w) for w in data[at:end].split()]
             yield b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+            at = end
 
     def encode(self, text: str) -> list[int]:
         return [i for ids, _ in self.parts(text.encode()) for i in struct.unpack(f"<{len(ids) // 4}I", ids)]
@@ -221,7 +237,8 @@ class Encoder:
     def decode(self, ids: Iterable[int]) -> str:
         """Without a decoder in the file: tokens with spaces between; else bytes through the UTF-8 state machine."""
         if not self.byte_decoder:
-            return " ".join(self.words[i] for i in ids)
+            machine = SpacedDecoder()
+            return b"".join(machine.feed((self.words[i] + " ").encode()) for i in ids).decode()
         return "".join(self.text_stream(ids))
 
     def text_stream(self, ids: Iterable[int]) -> Iterator[str]:
@@ -249,7 +266,8 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             texts = tn.text_array(batch.column(1)).cast(pa.large_binary())
             rows = [enc.digest(texts[k].as_py()) for k in range(len(texts))]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    src = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return src.mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    key = free_name(id_col, ["n_tokens", "ids_sha256", "decoded_sha256"])
+    src = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", key)

@@ -13,7 +13,7 @@ model sent to the tasks is one number for each bucket.
 Defined cases: a null text counts as empty; a text without words scores by its marks
 alone; without labelled rows, or with one class only, the score is the share of label 1 (one
 half without rows); several labels of one document count by their majority; repeated rows are
-scored each for itself; an empty table gives an empty result; only id and text are read.
+scored each for itself; rows with a null id are scored and held out; an empty table gives an empty result; only id and text are read.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .store import free_name, named
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -150,9 +151,9 @@ def slice_scores(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """learn: over the id as column ``id``, true where a row's label may be used."""
-    marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull() & learn)
+    marked = labels.select(named(id_col).cast("long").alias("id"), named(label_col).alias("label")).where(F.col("label").isNotNull() & learn)
     chosen = marked.groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
     few = src.join(F.broadcast(chosen), "id").select("id", "label", "text")  # at most ``sample`` rows are broadcast
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +172,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             parts = [slice_scores(model.value, buf, off) for _, _, buf, off in tn.slices(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[id_col, "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["id", "held_out", "score"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", ~learn)
-    out = src.select("id", "held_out", "text").mapInArrow(run, f"`{id_col}` long, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    src = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text")).withColumn("held_out", ~F.coalesce(learn, F.lit(False)))
+    out = src.select("id", "held_out", "text").mapInArrow(run, "id long, held_out boolean, score double")
+    rest = ["held_out", "score", "predicted"]
+    return out.withColumn("predicted", (F.col("score") >= cut).cast("int")).select(F.col("id").alias(free_name(id_col, rest)), *rest)

@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
 Lines are compared by their words. A line goes if an earlier line (smaller document id,
-then smaller line number) has the same words or, for lines of ``MIN_WORDS`` words or more,
-is within one word edit (a word put in, left out or replaced). A deletion variant is the
+then smaller line number) has the same words or, for lines of ``min_words`` words or more (by default
+``MIN_WORDS``: one word of five is a similarity of 0.8), is within one word edit (a word put in, left out or replaced). A deletion variant is the
 line without one word: two lines are within one edit if a variant of one equals the
 other, or if their variants without the word at one place are equal.
 
@@ -14,8 +14,8 @@ other, or if their variants without the word at one place are equal.
    as pairs), and every join is verified on the words.
 
 Defined cases: lines without words stay and null texts stay null; empty texts have no lines; rows
-with one id count as one document; ties go by id and line; an empty table gives an
-empty result; other columns are passed through by ``without_repeated_lines`` and not read otherwise.
+with one id count as one document that holds one text; rows with a null id are documents after all others, one for
+each text, and keep their null; ties go by id and line; an empty table gives an empty result; other columns are passed through by ``without_repeated_lines`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import free_name, id_again, id_and_text, id_of, named, written
 
-MIN_WORDS = 8
+MIN_WORDS = 5
 _ID = ["h1", "h2"]
 
 
@@ -35,9 +35,9 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r\n", "     "), " "), "")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, line, n, h1, h2 and the half keys (null under MIN_WORDS) of every line with words."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text"))
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """doc, line, n, h1, h2 and the half keys (null under min_words) of every line with words."""
+    src = id_and_text(docs, id_col, text_col).select(F.col("id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     src = src.select("doc", "line", _words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     a, b = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") + 1) / 2).cast("int")
 
@@ -49,7 +49,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     # an even length shares one first half and two last halves with its neighbours, an odd one the other way round
     halves = F.when(F.col("n") % 2 == 0, F.array(first(a), last(a), last(a + 1))).otherwise(F.array(first(a), first(b), last(b)))
-    return src.select("doc", "line", "n", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.when(F.col("n") >= MIN_WORDS, halves).alias("halves"))
+    return src.select("doc", "line", "n", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"), F.when(F.col("n") >= min_words, halves).alias("halves"))
 
 
 def _pair(x: Column, y: Column, salt: int) -> Column:
@@ -100,7 +100,7 @@ def _near(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Data
     some = keyed.join(shared, "half", "left_semi").select(*_ID).distinct()
     first = lines.join(some, _ID, "left_semi").groupBy(*_ID).agg(F.min(F.struct("doc", "line")).alias("e")).select(*_ID, "e.*")
     by_doc = first.groupBy("doc").agg(F.collect_list(F.struct("line", *_ID)).alias("some"))
-    text = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
+    text = id_and_text(docs, id_col, text_col).toDF("doc", "t")
     text = text.join(by_doc.hint("shuffle_hash"), "doc").withColumn("all", F.split("t", "\n"))
     picked = F.transform("some", lambda x: F.struct(x["line"].alias("line"), x["h1"].alias("h1"), x["h2"].alias("h2"), _words(F.get("all", x["line"])).alias("w")))
     words = text.select("doc", F.explode(picked).alias("x")).select("doc", "x.*").where("xxhash64(w) = h1").dropDuplicates(_ID)
@@ -123,9 +123,9 @@ def _near(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Data
     return pairs.join(mine, _ID).join(other, ["e1", "e2"]).where(_within_one_edit(F.col("u"), F.col("v"))).select(*_ID).distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc, line, gone of every line with words."""
-    lines = written(_lines(docs, id_col, text_col), "lines")
+    lines = written(_lines(docs, id_col, text_col, min_words), "lines")
     near = written(_near(lines, docs, id_col, text_col), "lines")
     copied = lines.groupBy(*_ID).agg(F.min(F.struct("doc", "line")).alias("e"), F.count("*").alias("c")).where("c > 1").select(*_ID, "e")
     known = copied.join(near.withColumn("near", F.lit(True)), _ID, "full")
@@ -133,19 +133,19 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lines.select("doc", "line", *_ID).join(known, _ID, "left").select("doc", "line", gone.alias("gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id_col, n_lines (with words), n_removed, removed (line numbers from 0, in order) of every document."""
-    marks = repeated_lines(docs, id_col, text_col).distinct().groupBy("doc").agg(
+    marks = repeated_lines(docs, id_col, text_col, min_words).distinct().groupBy("doc").agg(
         F.count("*").alias("n_lines"), F.count_if("gone").alias("n_removed"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line")))).alias("removed")
     )
-    ids = docs.select(F.col(id_col).cast("long").alias(id_col))
-    out = ids.join(marks, ids[id_col] == marks["doc"], "left")
-    return out.select(id_col, F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    out = id_and_text(docs, id_col, text_col).select("id").join(marks, F.col("id") == F.col("doc"), "left")
+    return out.select(id_again("id").alias(free_name(id_col, ["n_lines", "n_removed", "removed"])), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated lines taken out of their texts; all columns and rows stay."""
-    gone = repeated_lines(docs, id_col, text_col).where("gone").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
-    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__doc"), "left")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)
+    of, found = free_name("of", docs.columns), free_name("gone", docs.columns)
+    gone = repeated_lines(docs, id_col, text_col, min_words).where("gone").groupBy(F.col("doc").alias(of)).agg(F.collect_set("line").alias(found))
+    text = F.array_join(F.filter(F.split(named(text_col), "\n"), lambda x, i: ~F.array_contains(found, i)), "\n")
+    joined = docs.join(gone.hint("shuffle_hash"), id_of(id_col, text_col) == F.col(of), "left")
+    return joined.select(*(F.when(F.col(found).isNull(), named(c)).otherwise(text).alias(c) if c == text_col else named(c) for c in docs.columns))

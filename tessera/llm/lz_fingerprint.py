@@ -7,12 +7,14 @@ fingerprint; the share of equal minima estimates how much of the dictionaries tw
 have in common, as a shared compressor would.
 
 Each document also meets the next one by descending id. Documents are dealt to ranges of
-ids; the greatest of each range is sent to the range above it as well (the greatest of
-all to the lowest), so neighbours meet with one shuffle and no global order.
+ids, one for each task; the greatest of each range is sent to the range above it as well (the greatest of
+all to the lowest), so neighbours meet with one shuffle of the texts. A task reads its
+rows in order and holds one text that waits for its next.
 
 Defined cases: a null text counts as empty; empty texts (and texts of white space only)
 share one fingerprint, which is unlike that of any other; rows with one id follow
-each other by text; a single row is its own neighbour; an empty table gives an empty result.
+each other by text; rows with a null id come before all others, in the order of a hash of their text, and keep
+their null; a single row is its own neighbour; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .store import shuffle_width
+from .store import free_name, id_again, id_and_text, partitions
 
 SIZE = 128
 LONG, CUT = 24, 6
-RANGE_BYTES = 8 << 20
 
 _rng = np.random.RandomState(31)
 _MUL = _rng.randint(1, 1 << 62, SIZE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,57 +78,53 @@ def edited_text(text: str, following: str) -> str:
     return text[: n - n // 2] + following[: n // 2]
 
 
+def _ranges(src: DataFrame, width: int) -> np.ndarray:
+    """The greatest id of each of about ``width`` ranges of like size, from Spark's own sampler (as many numbers as there are tasks)."""
+    placed = src.select("id").repartitionByRange(width, "id").select(F.spark_partition_id().alias("p"), "id")
+    return np.unique(np.array([r["most"] for r in placed.groupBy("p").agg(F.max("id").alias("most")).collect()], np.int64))
+
+
 def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = id_and_text(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(shuffle_width(spark), -(-total // RANGE_BYTES))
-    cuts = src.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else None
-    cuts = np.unique(np.array(cuts or [], np.int64))
-
-    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            r = np.searchsorted(cuts, batch.column(0).to_numpy(zero_copy_only=False), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), batch.column(0)], names=["range", "id"])
-
-    #: one row for each range
-    ends = sorted((r["range"], r["most"]) for r in src.where("id is not null").select("id").mapInArrow(place, "range long, id long").groupBy("range").agg(F.max("id").alias("most")).collect())
-    above: dict[int, list[tuple[int, bool]]] = {}
-    for k, (_, most) in enumerate(ends):
-        above.setdefault(most, []).append((ends[(k + 1) % len(ends)][0], k + 1 == len(ends)))
-    greatest = np.array(sorted(above), np.int64)
+    most = _ranges(src, partitions(docs.sparkSession, total))
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["range", "id", "text", "place"]
+        names = ["range", "kind", "id", "text"]
         for batch in it:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            r = np.searchsorted(cuts, ids, "left")
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), *batch.columns, pa.array(np.zeros(len(ids), np.int32))], names=names)
-            for i in np.flatnonzero(np.isin(ids, greatest)).tolist():
-                for to, wraps in above[int(ids[i])]:
-                    one = batch.slice(i, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), *one.columns, pa.array([2 if wraps else 1], pa.int32())], names=names)
-
-    def work(table: pa.Table) -> pa.Table:
-        texts = tn.text_array(table.column("text")).cast(pa.large_binary())
-        ids, kind = table.column("id").to_pylist(), table.column("place").to_pylist()
-        data = [t.as_py() for t in texts]
-        order = sorted(range(len(ids)), key=lambda k: (kind[k], -ids[k], data[k]))
-        rows, held = [], None
-        for k, nxt in zip(order, [*order[1:], order[-1]], strict=True):
-            if kind[k]:
-                break
-            mine = held if held is not None else fingerprint(data[k])
-            held = fingerprint(data[nxt])
-            text = data[k].decode()
-            edited = edited_text(text, data[nxt].decode()).encode()
-            other = fingerprint(edited) if edited != data[k] else mine
-            rows.append((ids[k], len(text), hashlib.sha256(edited).hexdigest(), mine.byteswap().tobytes().hex(), other.byteswap().tobytes().hex(), likeness(mine, other), likeness(mine, held)))
-        cols = list(zip(*rows, strict=True)) or [[] for _ in types]
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
+            ids = batch.column(0).to_numpy()
+            r = np.searchsorted(most, ids, "left")
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(np.zeros(len(ids), np.int32)), *batch.columns], names=names)
+            ends = np.flatnonzero(most[r] == ids)  # come after the last of the range above
+            if len(ends):
+                above = (r[ends] + 1) % len(most)
+                yield pa.RecordBatch.from_arrays([pa.array(above, pa.int32()), pa.array(np.ones(len(ends), np.int32)), *(c.take(pa.array(ends)) for c in batch.columns)], names=names)
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one range, greatest id first, then the next below it: each row waits for its next only."""
+        waiting, closed = None, False
+        for batch in it:
+            rows = []
+            for kind, i, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if closed:
+                    break
+                mine = text.as_py()
+                mark = fingerprint(mine.encode())
+                if waiting is not None:
+                    rows.append(compared(*waiting, mine, mark))
+                waiting, closed = (i, mine, mark), kind == 1
+            cols = list(zip(*rows, strict=True)) or [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    def compared(i: int, text: str, mark: np.ndarray, following: str, next_mark: np.ndarray) -> tuple:
+        edited = edited_text(text, following)
+        other = fingerprint(edited.encode()) if edited != text else mark
+        return i, len(text), hashlib.sha256(edited.encode()).hexdigest(), mark.byteswap().tobytes().hex(), other.byteswap().tobytes().hex(), likeness(mark, other), likeness(mark, next_mark)
+
+    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    dealt = src.where("id is not null").mapInArrow(deal, "range long, id long, text string, place int")
-    return dealt.repartition(ranges, "range").groupBy("range").applyInArrow(work, schema)
+    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    dealt = src.mapInArrow(deal, "range int, kind int, id long, text string").repartitionById(max(1, len(most)), "range")
+    out = dealt.sortWithinPartitions("kind", F.desc("id"), "text").mapInArrow(work, schema)
+    return out.select(id_again("id").alias(free_name(id_col, names[1:])), *names[1:])

@@ -13,8 +13,8 @@
 
 Defined cases: null and empty texts have no shingles, link with nothing and stay; a
 text of fewer words than a shingle is one shingle; rows with one id are one document, so their
-texts' components are one; rows with a null id are documents of their own, whose component is
-null (and which stay) where no id is reachable; an empty table gives an empty result; only the
+texts' components are one; rows with a null id are documents after all others, one for each text, whose component is
+null where no id is reachable (one of them stays then); an empty table gives an empty result; only the
 id and text columns are read, whatever else the table holds.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .store import NO_ID, id_again, id_and_text, written
+from .store import NO_ID, free_name, id_again, id_and_text, written
 
 ROWS, BANDS = 5, 32
 BATCH = 32
@@ -272,7 +272,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def _same_id(full: DataFrame) -> DataFrame:
     """Links (a, b) between the sets of rows with one id."""
-    rows = full.where(F.col("id") != NO_ID).select("id", "node")
+    rows = full.where(F.col("id") < NO_ID).select("id", "node")
     several = rows.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
     return rows.join(several, "id").where("a < node").select("a", F.col("node").alias("b")).distinct()
 
@@ -333,4 +333,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY,
     # a class without links has the least id of its own rows
     by_node = classes.select("node", "rep").join(by_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     out = feats.select("id", "n_shingles", "node").join(by_node, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(id_again("id").alias(id_col), "n_shingles", id_again("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(id_again("id").alias(free_name(id_col, ["n_shingles", "component_id", "kept"])), "n_shingles", id_again("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))

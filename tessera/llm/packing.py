@@ -8,7 +8,7 @@ Equal bins are planned together with their number. Pieces get a rank among those
 their length (counts by task and length, then a running sum), and the rank finds the bin.
 
 Defined cases: a null text counts as empty, an empty text is the closing id alone;
-repeated rows are packed each for itself; an empty table gives an empty result; only the
+repeated rows are packed each for itself, and so are rows with a null id, which stays null; an empty table gives an empty result; only the
 id and text columns are read. The plan does not depend on the order of rows; which of
 several pieces of one length takes a place does.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .bpe import byte_letters
-from .store import written
+from .store import free_name, named, written
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -65,7 +65,7 @@ def cut_lengths(total: int, capacity: int = CAPACITY) -> list[int]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and task and nth: place among the task's pieces of that length."""
+    """id, piece, start, length, ids_crc32, and task and nth: place among the task's pieces of that length."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = text_encoder(path), TaskContext.get().partitionId()
@@ -85,10 +85,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
             cols = list(zip(*rows, strict=True)) or [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    names = [id_col, "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * with_ids
+    names = ["id", "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
-    schema = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long, task long, nth long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    schema = "id long, piece int, start long, length long, ids_crc32 long, task long, nth long" + ", ids binary" * with_ids
+    return docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def best_two_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -185,4 +185,5 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece with its sequence and its place there."""
-    return packed(written(pieces(docs, path, capacity, id_col, text_col, with_ids), "pieces"), capacity)
+    out = packed(written(pieces(docs, path, capacity, id_col, text_col, with_ids), "pieces"), capacity)
+    return out.withColumnRenamed("id", free_name(id_col, out.columns[1:]))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textnum as tn
-from .store import written
+from .store import free_name, named, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -88,7 +88,8 @@ def text_statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and STATS of every whole text."""
-    return _measured(docs.select(F.col(id_col), F.col(text_col).alias("__text")))
+    stats = _measured(docs.select(named(id_col).alias("__id"), named(text_col).cast("string").alias("__text")))
+    return stats.withColumnRenamed("__id", free_name(id_col, [*STATS, *(f"vote_{r}" for r in RULES), "base_failed", "posterior", "kept"]))
 
 
 def _measured(src: DataFrame) -> DataFrame:
@@ -177,6 +178,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def accepted(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the rules reject: rows travel with their statistics, so nothing is joined."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    stats = written(_measured(docs.select(row, F.col(text_col).cast("string").alias("__text"))), "quality")
+    row = F.struct(*(named(c) for c in docs.columns)).alias("row")
+    stats = written(_measured(docs.select(row, named(text_col).cast("string").alias("__text"))), "quality")
     return judged(stats, threshold).where("kept").select("row.*")

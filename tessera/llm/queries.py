@@ -94,11 +94,11 @@ ORACLE: dict[str, str] = {
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS t FROM documents),
 x AS (SELECT * FROM (SELECT doc_id, line, list_filter(regexp_split_to_array(t, '[\t\v\f\r ]+'), lambda y: y <> '') AS w FROM l) WHERE len(w) > 0),
 d AS (SELECT w, min({'d': doc_id, 'l': line}) AS e FROM x GROUP BY w),
-v AS (SELECT w, e, i, list_concat(w[1:i - 1], w[i + 1:]) AS r FROM (SELECT w, e, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) >= 8)),
+v AS (SELECT w, e, i, list_concat(w[1:i - 1], w[i + 1:]) AS r FROM (SELECT w, e, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) >= 5)),
 near AS (
   SELECT w FROM (SELECT w, e, min(e) OVER (PARTITION BY i, r) AS m FROM v) WHERE m < e
-  UNION SELECT v.w FROM v JOIN d ON d.w = v.r AND len(d.w) >= 8 WHERE d.e < v.e
-  UNION SELECT d.w FROM v JOIN d ON d.w = v.r AND len(d.w) >= 8 WHERE v.e < d.e),
+  UNION SELECT v.w FROM v JOIN d ON d.w = v.r AND len(d.w) >= 5 WHERE d.e < v.e
+  UNION SELECT d.w FROM v JOIN d ON d.w = v.r AND len(d.w) >= 5 WHERE v.e < d.e),
 g AS (SELECT x.doc_id, x.line, d.e <> {'d': x.doc_id, 'l': x.line} OR near.w IS NOT NULL AS gone FROM x JOIN d USING (w) LEFT JOIN near USING (w))
 SELECT documents.doc_id, coalesce(count(line), 0) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (gone), '') AS removed
 FROM documents LEFT JOIN g USING (doc_id) GROUP BY 1""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -9,8 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null id inside an operator, so rows without one come after all others.
-NO_ID = (1 << 63) - 1
+#: From here on ids stand for null ones inside an operator: such rows come after all others, each text for itself.
+NO_ID = (1 << 63) - (1 << 40)
+#: Text of a partition of dealt documents, as much as a task of the scan reads.
+PARTITION_BYTES = 128 << 20
 
 #: Used only where the session names no spark.checkpoint.dir, as in local tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
@@ -29,19 +32,20 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def id_of(id_col: str) -> Column:
-    return F.coalesce(named(id_col).cast("long"), F.lit(NO_ID))
+def id_of(id_col: str, text_col: str) -> Column:
+    """The id as a long; for a null one a number from NO_ID on, by the text."""
+    return F.coalesce(named(id_col).cast("long"), F.lit(NO_ID) + F.xxhash64(named(text_col).cast("string")).bitwiseAND(F.lit((1 << 40) - 1)))
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id (NO_ID for null) and text of docs, whatever else it holds."""
-    return docs.select(id_of(id_col).alias("id"), named(text_col).cast("string").alias("text"))
+    return docs.select(id_of(id_col, text_col).alias("id"), named(text_col).cast("string").alias("text"))
 
 
 def id_again(column: Column | str) -> Column:
     """The id that ``id_of`` stood for."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.when(c != NO_ID, c)
+    return F.when(c < NO_ID, c)
 
 
 def free_name(wanted: str, columns: list[str]) -> str:
@@ -56,24 +60,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once, as a Parquet table in the shared folder; it outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    for paths in _recording:
+    for paths in getattr(_recording, "lists", []):
         paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_recording: list[list[str]] = []
+_recording = threading.local()
 
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The paths written meanwhile, for a caller that knows when they are no longer read."""
+    """The paths that this thread writes meanwhile, for a caller that knows when they are no longer read."""
     paths: list[str] = []
-    _recording.append(paths)
+    before = getattr(_recording, "lists", [])
+    _recording.lists = [*before, paths]
     try:
         yield paths
     finally:
-        _recording.remove(paths)
+        _recording.lists = before
 
 
 def dropped(spark: SparkSession, paths: list[str]) -> None:
@@ -83,5 +88,10 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def partitions(spark: SparkSession, total: int) -> int:
+    """For a table with so many bytes of text: the session's shuffle width, more only where a task would hold over PARTITION_BYTES."""
+    return max(shuffle_width(spark), -(-total // PARTITION_BYTES))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,8 +19,13 @@ corpus would move many times its size, so suffixes that cannot repeat are left o
 Before each shuffle a task keeps only its first of equal contents, so a passage found
 in a third of all documents is sent once for each task.
 
+Documents are dealt to chunks of about ``BUCKET_BYTES`` and suffixes to as many buckets, which is what a task holds
+at once; tasks take several of them one by one, so there are no more tasks than the scan's.
+
 Defined cases: null text counts as empty; shorter texts than ``LENGTH`` lose nothing;
-rows with one id count as one document (neither makes the other go); an empty table
+rows with one id count as one document (neither makes the other go), which holds one text: if
+they hold several, what goes from one goes from the others at the same place; rows with a null id are documents
+after all others, one for each text, and come back with a null id; an empty table
 gives an empty result; other columns of the input are not read.
 """
 
@@ -36,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .store import shuffle_width, written
+from .store import free_name, id_again, id_and_text, partitions, shuffle_width, written
 
 LENGTH = 100
 GRAM = 37
@@ -311,13 +316,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words: of strings of PASSAGE words instead of LENGTH bytes, ordered by their hash, and each verdict names the document copied.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = id_and_text(docs, id_col, text_col)
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(shuffle_width(spark), -(-total // BUCKET_BYTES))
     sample = np.linspace(0, 2.0**64, chunks + 1)[:-1].astype(np.uint64) if words else _sampled_leads(src, SAMPLE / max(total, SAMPLE))
     splitters = sample[np.linspace(0, len(sample), chunks + 1).astype(int)[1:-1]] if len(sample) else np.zeros(0, np.uint64)
     first = written(_judge_segments(_segment_records(src, chunks, words), chunks, words), "suffixes")
-    dealt = src.withColumn("chunk", chunk_column(F.col("id"), chunks)).repartition(chunks, "chunk")
+    dealt = src.withColumn("chunk", chunk_column(F.col("id"), chunks)).repartition(partitions(spark, total), "chunk")
 
     def expand(left: pa.Table, right: pa.Table) -> pa.Table:
         got = _suffixes(left, right, words)
@@ -369,7 +374,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows.append((i, len(data), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
         return _table(rows, names, types)
 
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
-    schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return dealt.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(finish, schema)
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    out = dealt.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(finish, schema)
+    return out.select(id_again("id").alias(free_name(id_col, names[1:])), *names[1:])

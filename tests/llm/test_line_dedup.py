@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string, source string"
 
 
 def near(u, v):
-    if min(len(u), len(v)) < 7 or max(len(u), len(v)) < 8 or len(u) < 8 or len(v) < 8:
+    if min(len(u), len(v)) < 5:
         return False
     if len(u) == len(v):
         return sum(a != b for a, b in zip(u, v, strict=True)) <= 1
@@ -28,7 +28,7 @@ def brute(rows):
 
 def make(seed=1):
     rng = random.Random(seed)
-    base = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([3, 7, 8, 9, 12, 25]))] for _ in range(12)]
+    base = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([3, 4, 5, 6, 7, 8, 9, 12, 25]))] for _ in range(12)]
     rows = []
     for i in range(40):
         lines = []
