@@ -13,6 +13,11 @@ from pyspark.sql import types as T
 
 #: The rewards.
 CORRECT, WRONG, TOOL_BONUS = 1.0, 0.0, 0.5
+#: Units that answers may carry, names of large numbers, and the tokens round a boxed answer.
+UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard")
+LARGE = {"trillion": 12, "billion": 9, "million": 6}
+BOX_TOKENS = re.compile(r"<\|begin_of_box\|>(.*?)<\|end_of_box\|>", re.DOTALL)
+_UNIT = re.compile("(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?:es)?s? *(?:\^\{?[0-9]+\}?)?")
 _FRACTION = re.compile(r"\\[dt]?frac\{([^{}]+)\}\{([^{}]+)\}")
 
 
@@ -34,8 +39,17 @@ def boxed(text: str | None) -> str | None:
 
 
 def plain(answer: str) -> str:
-    """LaTeX decoration, units of per cent and money, thousands commas and spaces taken off."""
-    s = answer.strip().strip("$")
+    """LaTeX decoration, units, names of large numbers, thousands commas, a variable's name in front and spaces taken off; mixed numbers summed."""
+    s = answer.strip().replace("\\$", "").replace("$", "")
+    for word in (" or ", " and "):
+        s = s.replace(word, " , ")
+    for word, power in LARGE.items():
+        s = re.sub(rf"\s*{word}s?\b", f"*10^{power}", s)
+    s = _UNIT.sub("", re.sub(r"\\(?:text|mathrm|textbf|mbox)\{([^{}]*)\}", r" \1", s))
+    s = re.sub(r"\\sqrt\s*([0-9a-zA-Z])", r"\\sqrt{\1}", s)
+    s = re.sub(r"^\s*[a-zA-Z]{1,2}\s*=(?!=)", "", s)
+    s = re.sub(r"(?<![\w.)}])(\d+)\s*(?=\\[dt]?frac)", r"\1+", s)
+    s = re.sub(r"(?<![\w./])(\d+) +(\d+)\s*/\s*(\d+)", r"\1+\2/\3", s)
     for x in ("\\left", "\\right", "\\!", "\\,", "\\;", "\\ ", "^{\\circ}", "^\\circ", "\\%", "%", "\\$"):
         s = s.replace(x, "")
     s = re.sub(r"\\(?:text|mathrm|textbf|mbox)\{([^{}]*)\}", r"\1", s)
@@ -67,12 +81,12 @@ def exact_value(expression: str) -> Fraction | None:
                 return a * b
             if isinstance(n.op, ast.Div):
                 return a / b
-            if isinstance(n.op, ast.Pow) and b.denominator == 1 and abs(b) <= 64:
+            if isinstance(n.op, ast.Pow) and b.denominator == 1 and abs(b) * max(a.numerator.bit_length(), a.denominator.bit_length()) < 1 << 16:
                 return a ** int(b)
         raise ValueError
 
     try:
-        return walk(ast.parse(expression.replace("^", "**"), mode="eval")) if len(expression) < 200 else None
+        return walk(ast.parse(expression.replace("^", "**"), mode="eval"))
     except (ValueError, SyntaxError, ZeroDivisionError, OverflowError, RecursionError, MemoryError):
         return None
 
@@ -92,14 +106,28 @@ def same_answer(a: str, b: str) -> bool:
     p, q = parts_of(x), parts_of(y)
     if len(p) != len(q):
         return False
-    return all(u == v or ((m := exact_value(u)) is not None and m == exact_value(v)) for u, v in zip(p, q, strict=True))
+    return all(u == v or _same_value(u, v) for u, v in zip(p, q, strict=True))
+
+
+def _same_value(u: str, v: str) -> bool:
+    """Equal numbers; two plain fractions must be written alike, and a whole number equals none that isn't written as one value."""
+    if all(re.fullmatch(r"-?\(?-?\d+\)?/\(?\d+\)?", x) for x in (u, v)):
+        return u.replace("(", "").replace(")", "") == v.replace("(", "").replace(")", "")
+    m = exact_value(u)
+    return m is not None and m == exact_value(v)
+
+
+def final_answer(text: str | None) -> str | None:
+    """Between the last pair of box tokens if there is one; else the last box."""
+    found = BOX_TOKENS.findall(text or "")
+    return found[-1].strip() if found else boxed(text)
 
 
 def math_reward_one(action: str | None, truths: list[str] | None, tool_call: bool) -> float:
     """Reward of the answer after the thinking part; several truths may hold."""
     if not action or not truths:
         return WRONG
-    answer = boxed(action.split("</think>", 1)[-1])
+    answer = final_answer(action.split("</think>", 1)[-1])
     if answer is None:
         return WRONG
     known = [boxed(t) if "\\boxed" in t else t for t in truths]
@@ -108,7 +136,7 @@ def math_reward_one(action: str | None, truths: list[str] | None, tool_call: boo
 
 
 def _boxed(s: pd.Series) -> pd.Series:
-    return s.map(boxed)
+    return s.map(final_answer)
 
 
 def extract_boxed(text: Column) -> Column:

@@ -74,7 +74,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str, k
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), doc))).where(F.col("rank") <= k)
 
 
-def greedy_kept(pairs: DataFrame, rows: DataFrame, a: str, b: str, row: str, max_rounds: int = 50) -> DataFrame:
+def greedy_kept(pairs: DataFrame, rows: DataFrame, a: str, b: str, row: str) -> DataFrame:
     """Rows that stay when, in order, each row that is still there takes out its later partners.
 
     Equal to the sequential loop: a row whose earlier partners are all decided is decided by whether one of them stayed.
@@ -82,14 +82,13 @@ def greedy_kept(pairs: DataFrame, rows: DataFrame, a: str, b: str, row: str, max
     """
     edges = pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x < y").distinct()
     state = edges.select(F.col("y").alias("n")).union(edges.select("x")).distinct().withColumn("s", F.lit(0))  # 1 stays, -1 goes
-    for _ in range(max_rounds):
+    while True:
         from_ = edges.join(state.select(F.col("n").alias("x"), F.col("s").alias("sx")), "x")
         agg = from_.groupBy(F.col("y").alias("n")).agg(F.max("sx").alias("most"), F.max((F.col("sx") == 0).cast("int")).alias("waits"))
         new = F.when(F.col("s") != 0, F.col("s")).when(F.col("most").isNull(), 1).when(F.col("most") == 1, -1).when(F.col("waits") == 1, 0).otherwise(1)
         state = state.join(agg, "n", "left").select("n", new.alias("s")).checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else state.join(agg, "n", "left").select("n", new.alias("s")).persist()
         if state.where("s = 0").isEmpty():
             return rows.join(state.where("s = -1").select(F.col("n").alias(row)), row, "left_anti")
-    raise RuntimeError("not decided")
 
 
 def one_to_one(scored: DataFrame, left: str, score: str, least: float) -> DataFrame:

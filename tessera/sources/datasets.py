@@ -94,14 +94,30 @@ def folder_type(files: DataFrame, path: str = "path") -> DataFrame:
     return files.agg(F.when(has(r"results[^/]*\.jsonl$"), "eval").when(has(r"(pos|neg)[^/]*\.jsonl$"), "collection").when(has(r"\.jsonl?$"), "rollout").alias("type"))
 
 
-def zipped(left: DataFrame, right: DataFrame, number: str) -> DataFrame:
-    """Rows of two files by line number; the shorter ends both."""
-    return left.join(right, number)
+def numbered(df: DataFrame, out: str = "line") -> DataFrame:
+    """Rows with their place, from 0, in the order of df's partitions: the order of a file's lines, however the scan splits it.
 
+    Counts by partition (a row for each) give where each starts, so no task sees the whole file.
+    """
+    placed = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    counts = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    starts, at = [], 0
+    for part, n in counts:
+        starts.append((part, at))
+        at += n
+    first = df.sparkSession.createDataFrame(starts, "__part long, __first long")
+    place = F.col("__first") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(first, "__part").select(*df.columns, place.alias(out))
 
-def numbered(df: DataFrame, out: str = "line") -> DataFrame:
-    """Lines of files with their place in them, from the scan's own row numbers where the format has them."""
-    return df.withColumn(out, F.monotonically_increasing_id())
+
+def zipped(left: DataFrame, right: DataFrame, number: str = "line") -> DataFrame:
+    """Rows of two files side by side, by their place; the shorter ends both."""
+    return numbered(left, number).join(numbered(right, number), number)
+
+
+def looked_up_at(corpus: DataFrame, positions: DataFrame, number: str = "line") -> DataFrame:
+    """Rows of a corpus file at given places, as often as asked."""
+    return positions.join(numbered(corpus, number), number)
 
 
 def outcome_rows(pos: DataFrame, neg: DataFrame) -> DataFrame:
