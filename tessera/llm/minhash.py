@@ -129,15 +129,28 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, ROWS * BANDS)
 
 
-def survivors(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """Which of the pairs (row a of x, row b of y) no batch of signatures prunes."""
-    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
+def survivors(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]], matches: np.ndarray | None = None) -> np.ndarray:
+    """Which of the pairs (row a of x, row b of y) no batch of signatures prunes; matches: of the batches before the first of bounds."""
+    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64) if matches is None else matches
     for k, least in bounds:
         matches[alive] += (x[a[alive], k - BATCH : k] == y[b[alive], k - BATCH : k]).sum(1)
         alive = alive[matches[alive] >= least]
     return alive
 
 
+def block_survivors(x: np.ndarray, y: np.ndarray, apart: np.ndarray, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, rows of y) of the pairs where apart holds that no batch prunes; the first batch counts all of a block at once."""
+    k, least = bounds[0]
+    matches = np.zeros(apart.shape, np.uint8)
+    equal = np.empty(apart.shape, bool)
+    for p, q in zip(np.ascontiguousarray(x[:, :k].T), np.ascontiguousarray(y[:, :k].T), strict=True):
+        np.equal(p[:, None], q[None, :], out=equal)
+        matches += equal.view(np.uint8)
+    a, b = np.nonzero((matches >= least) & apart)
+    alive = survivors(x, y, a, b, bounds[1:], matches[a, b].astype(np.int64))
+    return a[alive], b[alive]
+
+
 def plausible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that no batch of their signatures prunes."""
     bounds = _bounds(percent)
@@ -183,49 +196,50 @@ def block_links(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that share buckets; named: (key, id, comp).
 
     A bucket's main component is its most frequent. All members of the buckets of one main component
-    form a group, dealt to blocks of about BLOCK, and so are its members outside the main component. A block
-    meets a block of these by signatures; what the posterior leaves is compared exactly, where an index of the
-    block's shingles gives similarities, one link for a document and component. Only signatures go to all
-    blocks; full sets go where a signature found a partner. A task holds two blocks.
+    form a group, dealt to blocks of about BLOCK, and so are its members outside the main component; groups of up to
+    BLOCK members share blocks of about that many. A block meets a block of these by signatures; members
+    with a partner that the posterior leaves are compared exactly, where an index of their shingles gives
+    similarities, one link for a document and component. Only signatures go to all blocks. A task holds two blocks.
     """
     main = named.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", -F.col("comp"))).alias("m")).select("key", (-F.col("m.col2")).alias("main"))
     members = written(named.join(main, "key").groupBy("main", "id", "comp").agg(F.lit(1).alias("n")).select("main", "id", "comp"), "minhash")
-    sizes = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK).cast("int").alias("parts"))
+    outside = F.count_if(F.col("comp") != F.col("main"))
+    sizes = members.groupBy("main").agg((F.count("*") > BLOCK).alias("big"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(outside / BLOCK).cast("int").alias("parts"), F.count("*").alias("n"))
+    sizes = written(sizes, "minhash")
+    slots = max(1, -(-(sizes.where("not big").agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    slot = F.when(F.col("big"), F.col("main")).otherwise(F.pmod(F.xxhash64("main"), F.lit(slots)))
     place = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    dealt = members.join(sizes, "main").withColumns({"block": place, "part": part})
+    dealt = members.join(sizes.drop("n"), "main").withColumns({"slot": slot, "block": place, "part": part})
     sigs = written(_signed(sets.join(members.select("id").distinct(), "id", "left_semi")), "minhash")
 
-    key = ["main", "block", "part"]
+    key = ["big", "slot", "block", "part"]
+    key_type = "big boolean, slot long, block int, part int"
 
     def sides() -> tuple[DataFrame, DataFrame]:
         with_value = dealt.join(sigs, "id")
         all_parts, all_blocks = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
-        left = with_value.select("main", "block", F.explode(all_parts).alias("part"), "id", "comp", "sig")
-        right = with_value.where("comp <> main").select("main", F.explode(all_blocks).alias("block"), "part", "id", "comp", "sig")
+        left = with_value.select("big", "slot", "block", F.explode(all_parts).alias("part"), "main", "id", "comp", "sig")
+        right = with_value.where("comp <> main").select("big", "slot", F.explode(all_blocks).alias("block"), "part", "main", "id", "comp", "sig")
         return left, right.toDF(*(f"{c}_" for c in right.columns))
 
     bounds = _bounds(percent)
 
     def sift(mine: pa.Table, others: pa.Table) -> pa.Table:
-        """Of a block and a part of the others: the ids on either side that have a plausible partner."""
-        ids, comps, found = mine.column("id").to_numpy(), mine.column("comp").to_numpy(), []
+        """Of a block and a part of the others: the ids with a plausible partner on the other side."""
+        side, ids = np.zeros(0, bool), np.zeros(0, np.int64)
         if mine.num_rows and others.num_rows:
-            x, y = _signatures(mine.column("sig")), _signatures(others.column("sig_"))
-            oids, ocomps = others.column("id_").to_numpy(), others.column("comp_").to_numpy()
-            every = np.arange(len(ids))
-            for k in range(len(oids)):
-                a = every[comps != ocomps[k]]
-                hit = a[survivors(x, y, a, np.full(len(a), k), bounds)]
-                found += [(int(i), int(oids[k])) for i in ids[hit[np.unique(comps[hit], return_index=True)[1]]][:1]]
-        if not found:
-            return pa.table({c: pa.array([], pa.int64()) for c in [*key, "id"]})
-        theirs = sorted({b for _, b in found})
-        head = [mine.column(c)[0].as_py() for c in key]
-        return pa.table({**{c: pa.array([v] * len(theirs), pa.int64()) for c, v in zip(key, head, strict=True)}, "id": pa.array(theirs, pa.int64())})
+            x, y = ([t.column(c + s).to_numpy() for c in ("main", "id", "comp")] for t, s in ((mine, ""), (others, "_")))
+            apart = (x[0][:, None] == y[0][None, :]) & (x[2][:, None] != y[2][None, :])
+            a, b = (np.unique(i) for i in block_survivors(_signatures(mine.column("sig")), _signatures(others.column("sig_")), apart, bounds))
+            a, b = np.unique(x[1][a]), np.unique(y[1][b])
+            side, ids = np.repeat([True, False], [len(a), len(b)]), np.append(a, b)
+        head = [mine.column(c)[0].as_py() for c in key] if len(ids) else [None] * len(key)
+        types = [pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.table({**{c: pa.array([v] * len(ids), t) for c, v, t in zip(key, head, types, strict=True)}, "mine": pa.array(side), "id": pa.array(ids)})
 
     left, right = sides()
-    hopeful = written(left.groupBy(*key).cogroup(right.groupBy(*(f"{c}_" for c in key))).applyInArrow(sift, "main long, block long, part long, id long"), "minhash")
+    hopeful = written(left.groupBy(*key).cogroup(right.groupBy(*(f"{c}_" for c in key))).applyInArrow(sift, f"{key_type}, mine boolean, id long"), "minhash")
 
     def run(mine: pa.Table, others: pa.Table) -> pa.Table:
         ids, comps = mine.column("id").to_numpy(), mine.column("comp").to_numpy()
@@ -246,10 +260,11 @@ def block_links(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 b += ids[hit].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    asked = hopeful.select(*key, "id").join(members.select("id", "main", "comp"), ["id", "main"]).join(sets, "id").select(*key, "id", "comp", "set")
+    held = members.select("id", "comp").distinct().join(sets, "id")
+    full = hopeful.join(held, "id").select(*key, "mine", "id", "comp", "set")
+    asked = full.where("not mine").drop("mine")
     asked = asked.toDF(*(f"{c}_" for c in asked.columns))
-    blocks = dealt.drop("part").join(hopeful.select(*key).distinct(), ["main", "block"]).join(sets, "id").select(*key, "id", "comp", "set")
-    return blocks.groupBy(*key).cogroup(asked.groupBy(*(f"{c}_" for c in key))).applyInArrow(run, "a long, b long")
+    return full.where("mine").groupBy(*key).cogroup(asked.groupBy(*(f"{c}_" for c in key))).applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -1,6 +1,8 @@
 import re
 
-from tessera.llm.minhash import components, least_matches, near_duplicates
+import numpy as np
+
+from tessera.llm.minhash import BANDS, ROWS, _bounds, block_survivors, components, least_matches, near_duplicates, survivors
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,6 +59,17 @@ def test_empty_table_and_bounds(empty):
     assert 0 < least_matches(32, 0.8) < 26 and least_matches(160, 0.8) > 80
 
 
+def test_a_block_prunes_as_single_pairs_do():
+    rng = np.random.RandomState(6)
+    x = rng.randint(0, 1 << 16, (30, ROWS * BANDS)).astype(np.uint16)
+    y = np.where(rng.rand(20, ROWS * BANDS) < rng.rand(20)[:, None], x[rng.randint(0, 30, 20)], rng.randint(0, 1 << 16, (20, ROWS * BANDS))).astype(np.uint16)
+    apart = rng.rand(30, 20) < 0.8
+    a, b = np.nonzero(apart)
+    alive = survivors(x, y, a, b, _bounds(80))
+    got = block_survivors(x, y, apart, _bounds(80))
+    assert len(alive) and {*zip(a[alive], b[alive], strict=True)} == {*zip(*got, strict=True)}
+
+
 def test_buckets_of_unlike_documents_are_compared_in_blocks(spark, monkeypatch):
     """Many documents with one long common part share band keys without being alike; a few pairs of them are."""
     monkeypatch.setattr("tessera.llm.minhash.BLOCK", 8)
