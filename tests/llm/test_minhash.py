@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from tessera.llm.minhash import BANDS, ROWS, _bounds, block_survivors, components, least_matches, near_duplicates, survivors
 
@@ -70,13 +71,19 @@ def test_a_block_prunes_as_single_pairs_do():
     assert len(alive) and {*zip(a[alive], b[alive], strict=True)} == {*zip(*got, strict=True)}
 
 
-def test_buckets_of_unlike_documents_are_compared_in_blocks(spark, monkeypatch):
-    """Many documents with one long common part share band keys without being alike; a few pairs of them are."""
-    monkeypatch.setattr("tessera.llm.minhash.BLOCK", 8)
+@pytest.mark.parametrize("block", [8, 512])
+def test_buckets_of_unlike_documents_are_compared_in_blocks(spark, monkeypatch, block):
+    """Many documents with one long common part share band keys without being alike; a few pairs of them are.
+
+    The sides of a block must meet in one task also where shuffle partitions are not coalesced.
+    """
+    monkeypatch.setattr("tessera.llm.minhash.BLOCK", block)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     common = [f"c{k}" for k in range(60)]
     rows = [(k, " ".join(common + [f"u{k}x{j}" for j in range(22)]), "s") for k in range(40)]
     rows += [(100 + k, " ".join(common + [f"u{k}x{j}" for j in range(21)] + [f"v{k}"]), "s") for k in range(0, 40, 3)]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string"), width=2).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {i: c for i, (_, c) in brute(rows, 2).items()}
 
 
