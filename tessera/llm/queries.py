@@ -76,6 +76,28 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle, restored
+
+    out = fill_in_middle(_documents(spark, sf_dir))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}
+    return out.withColumns(digests).drop("output", "first_cut", "last_cut")
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(_documents(spark, sf_dir)).drop("kept")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import centroid_clusters
+
+    out = centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digits = F.array_join(F.transform("centroid", lambda c: c.cast("string")), ",")
+    return out.withColumn("centroid_sha256", F.sha2(digits, 256)).drop("centroid")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -87,8 +109,33 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_paragraph_dedup": op10_paragraph_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
+
+def _lloyd_sql(rounds: int = 5, clusters: int = 40) -> str:
+    """The clustering as plain rounds over all vectors, a CTE for each."""
+    near = """a{k} AS MATERIALIZED (SELECT vec_id, v, min({{'d': list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'c': c}}) AS b
+FROM x, c{k} GROUP BY vec_id, v)"""
+    mean = """c{k} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{j} o LEFT JOIN (
+  SELECT c, list(f ORDER BY i) AS m FROM (SELECT c, i, CAST((s - ((s % n + n) % n)) / n AS BIGINT) AS f FROM (
+    SELECT b.c AS c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{j}, range(1, 65) AS t(i) GROUP BY 1, 2)) GROUP BY c) n USING (c))"""
+    steps = [
+        "x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v AS m FROM x ORDER BY sha256('2:' || vec_id) LIMIT {clusters})",
+    ]
+    for k in range(rounds):
+        steps += [near.format(k=k), mean.format(j=k, k=k + 1)]
+    steps.append(near.format(k=rounds))
+    last = f"""
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(m, lambda e: CAST(e AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = b.c"""
+    return "WITH " + ",\n".join(steps) + last
+
+
 ORACLE: dict[str, str] = {
     "op5_line_dedup": r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS t FROM documents),
@@ -102,4 +149,14 @@ near AS (
 g AS (SELECT x.doc_id, x.line, d.e <> {'d': x.doc_id, 'l': x.line} OR near.w IS NOT NULL AS gone FROM x JOIN d USING (w) LEFT JOIN near USING (w))
 SELECT documents.doc_id, coalesce(count(line), 0) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (gone), '') AS removed
 FROM documents LEFT JOIN g USING (doc_id) GROUP BY 1""",
+    "op11_fill_in_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, list_transform(regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda x: length(x)) AS w, list_transform([0, 1, 2, 3], lambda k: CAST('0x' || h[8 * k + 1 : 8 * k + 8] AS BIGINT)) AS d FROM t),
+f AS (SELECT *, len(w) AS n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT *, CAST(coalesce(list_sum(w[1 : least(d[1] % (n + 1), d[2] % (n + 1))]), 0) AS BIGINT) AS a, CAST(coalesce(list_sum(w[1 : greatest(d[1] % (n + 1), d[2] % (n + 1))]), 0) AS BIGINT) AS b FROM f),
+p AS (SELECT *, left(text, a) AS pre, substring(text, a + 1, b - a) AS mid, substring(text, b + 1) AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""",
+    "op13_centroid_clustering": _lloyd_sql(),
 }

@@ -95,3 +95,22 @@ def partitions(spark: SparkSession, total: int) -> int:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key with over one in HOT of all rows is dealt to several tasks; fewer than HOT keys have so many.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of rows with a table that has one row a key and its number of rows in n (total in all).
+
+    Hot keys get a salt for each one in HOT of all rows: a broadcast of under HOT keys says which, and their rows of the
+    table are repeated for every salt, under 2 * HOT rows in all.
+    """
+    least = max(1, total // HOT)
+    salts = F.when(F.col(n) > least, F.ceil(F.col(n) / least).cast("int")).otherwise(F.lit(1))
+    hot = table.where(F.col(n) > least).select(F.col(key).alias("__hot"), salts.alias("__salts"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    dealt = dealt.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__hot", "__salts")
+    kept = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(n)
+    return dealt.join(kept, [key, "__salt"]).drop("__salt")
