@@ -16,6 +16,7 @@ several pieces of one length takes a place does.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -35,6 +36,8 @@ CAPACITY = 2048
 CLOSING_ID = 0
 #: Fixed value: the byte-level pattern that cuts a text into pieces, each encoded by itself.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A long run of white space; the pattern goes back over it step by step, and fails beyond a million, so it is cut out first.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @lru_cache(maxsize=2)
@@ -54,7 +57,20 @@ def text_encoder(path: str) -> Callable[[str], np.ndarray]:
     ranks = {bytes(to_byte[c] for c in t): i for t, i in vocab.items()}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     enc = tiktoken.Encoding("file", pat_str=PIECE, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: enc.encode_to_numpy(text, allowed_special="all")
+    whole = tiktoken.Encoding("piece", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    closers = tuple(special)
+
+    def encode(text: str) -> np.ndarray:
+        parts, at = [], 0
+        for run in LONG_BLANKS.finditer(text):
+            # the pattern takes a run as one piece, but for its last blank where a word follows
+            end = run.end() if run.end() == len(text) or text.startswith(closers, run.end()) else run.end() - 1
+            parts += [enc.encode_to_numpy(text[at : run.start()], allowed_special="all"), whole.encode_to_numpy(text[run.start() : end])]
+            at = end
+        last = enc.encode_to_numpy(text[at:], allowed_special="all")
+        return np.concatenate([*parts, last]) if parts else last
+
+    return encode
 
 
 def cut_lengths(total: int, capacity: int = CAPACITY) -> list[int]:

@@ -19,6 +19,30 @@ def test_texts_encode_as_the_library_does():
         assert enc(t).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t[:40])
 
 
+def test_long_white_space_and_long_words():
+    enc, lib = text_encoder(PATH), Tokenizer.from_file(PATH)
+    for n, run in ((4095, " "), (4096, " "), (4097, "\n"), (2_000_000, "\t "), (5_000_000, " "), (1_500_000, "\n"), (70_000, " \u3000\x85\xa0\r\u2028"), (9000, "\x1c")):
+        blanks = run * n
+        for text in (f"x{blanks}y", blanks, f"{blanks}'s", f"a {blanks}", f"1{blanks}<|endoftext|> z", f"<|endoftext|>{blanks}\n!") if n < 100_000 else (f"x{blanks}y",):
+            assert enc(text).tolist() == lib.encode(text, add_special_tokens=False).ids, (n, run, text[:3])
+    for text in ("x" * 1_000_000, "9" * 300_000, "a b  c\n" * 300_000 + " " * 5000, f"{' ' * 5000}a{chr(10) * 5000} b"):
+        assert enc(text).tolist() == lib.encode(text, add_special_tokens=False).ids, text[:9]
+
+
+def test_null_ids_and_repeated_rows_have_their_own_pieces(spark):
+    lib = Tokenizer.from_file(PATH)
+    rows = [(1, "a b c"), (1, "a b c"), (None, "x y"), (None, "x y"), (None, None), (2, "x" + " " * 1_200_000 + "y")]
+    out = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    want = []
+    for i, t in rows:
+        ids, at = [*lib.encode(t or "", add_special_tokens=False).ids, 0], 0
+        for k, n in enumerate(cut_lengths(len(ids))):
+            want.append((i or -1, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())))
+            at += n
+    assert sorted((r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted(want)
+    assert len({(r.sequence_id, r.offset) for r in out}) == len(out)
+
+
 def test_pieces_and_places(docs, rows, empty):
     lib = Tokenizer.from_file(PATH)
     got = defaultdict(list)
