@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from dataclasses import dataclass
 from fractions import Fraction
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .algebra import same_function
+
 #: The rewards.
 CORRECT, WRONG, TOOL_BONUS = 1.0, 0.0, 0.5
 #: Units that answers may carry, names of large numbers, and the tokens round a boxed answer.
@@ -18,7 +21,8 @@ UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hou
 LARGE = {"trillion": 12, "billion": 9, "million": 6}
 BOX_TOKENS = re.compile(r"<\|begin_of_box\|>(.*?)<\|end_of_box\|>", re.DOTALL)
 _UNIT = re.compile("(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?:es)?s? *(?:\^\{?[0-9]+\}?)?")
-_FRACTION = re.compile(r"\\[dt]?frac\{([^{}]+)\}\{([^{}]+)\}")
+_GROUP = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})+)\}"  # with braces of its own, two deep
+_FRACTION = re.compile(r"\\[dt]?frac" + _GROUP * 2)
 
 
 def boxed(text: str | None) -> str | None:
@@ -99,22 +103,49 @@ def parts_of(answer: str) -> list[str]:
 
 
 def same_answer(a: str, b: str) -> bool:
-    """Equal as normalised text, or part by part as exact numbers."""
+    """Equal as normalised text, or part by part as values."""
     x, y = plain(a), plain(b)
     if x == y:
         return bool(x)
-    p, q = parts_of(x), parts_of(y)
-    if len(p) != len(q):
+    if not x or not y:
         return False
-    return all(u == v or _same_value(u, v) for u, v in zip(p, q, strict=True))
+    p, q = parts_of(x), parts_of(y)
+    return len(p) == len(q) and all(same_part(u, v) for u, v in zip(p, q, strict=True))
+
 
+def same_part(u: str, v: str) -> bool:
+    """One part of two normalised answers.
 
-def _same_value(u: str, v: str) -> bool:
-    """Equal numbers; two plain fractions must be written alike, and a whole number equals none that isn't written as one value."""
-    if all(re.fullmatch(r"-?\(?-?\d+\)?/\(?\d+\)?", x) for x in (u, v)):
+    Two plain fractions must be written alike, since an unreduced one is no answer; a whole number equals only what is
+    written as one too; all else is equal if it is the same function of at most two letters.
+    """
+    if u == v:
+        return True
+    if _PLAIN_FRACTION.fullmatch(u) and _PLAIN_FRACTION.fullmatch(v):
         return u.replace("(", "").replace(")", "") == v.replace("(", "").replace(")", "")
-    m = exact_value(u)
-    return m is not None and m == exact_value(v)
+    whole = [_whole(x) for x in (u, v)]
+    if None not in whole:
+        return whole[0] == whole[1]
+    if whole != [None, None]:
+        return False
+    u, v = (_SHORT_POWER.sub(r"^\1", x) for x in (u, v))
+    letters = set(re.sub("sqrt|frac", "", u + v)) & set("abcdefghijklmnopqrstuvwxyz")
+    if len(letters) > 2 or any(_HARD_POWER.search(x) for x in (u, v)):
+        return False
+    return bool(same_function(u, v))
+
+
+_PLAIN_FRACTION = re.compile(r"-?\(?-?\d+\)?/\(?\d+\)?")
+_SHORT_POWER = re.compile(r"\^\{([0-9a-z])\}")
+#: Powers that are not compared: of more than one sign, or of a power.
+_HARD_POWER = re.compile(r"\^\{|\^\(|\^[0-9]+\^|\^[0-9][0-9]")
+
+
+def _whole(x: str) -> int | None:
+    """The whole number that x is written as, if it is; 2.0 is."""
+    if re.fullmatch(r"[-+]?\d+(?:\.0*)?|[-+]?\.0+", x):
+        return int(Fraction(x.rstrip(".")))
+    return None
 
 
 def final_answer(text: str | None) -> str | None:
@@ -123,16 +154,35 @@ def final_answer(text: str | None) -> str | None:
     return found[-1].strip() if found else boxed(text)
 
 
-def math_reward_one(action: str | None, truths: list[str] | None, tool_call: bool) -> float:
-    """Reward of the answer after the thinking part; several truths may hold."""
-    if not action or not truths:
-        return WRONG
-    answer = final_answer(action.split("</think>", 1)[-1])
+@dataclass(frozen=True)
+class MathRewards:
+    """What each outcome is worth; ``needs_thought``: an answer without the end of a thinking part has no form."""
+
+    correct: float = CORRECT
+    wrong: float = WRONG
+    no_form: float = WRONG
+    no_truth: float = WRONG
+    tool_bonus: float = TOOL_BONUS
+    needs_thought: bool = False
+
+
+def math_outcome(action: str | None, truths: list[str] | None, rewards: MathRewards = MathRewards()) -> str:
+    """correct, wrong, no_form (no text, no thought where one is needed, no answer) or no_truth; the first that holds counts, form first."""
+    if not action or (rewards.needs_thought and "</think>" not in action):
+        return "no_form"
+    answer = final_answer(action.split("</think>")[1] if "</think>" in action else action)
     if answer is None:
-        return WRONG
-    known = [boxed(t) if "\\boxed" in t else t for t in truths]
-    hit = any(k and same_answer(answer, k) for k in known)
-    return CORRECT + (TOOL_BONUS if tool_call else 0) if hit else WRONG
+        return "no_form"
+    known = [k for k in (boxed(t) if "\\boxed" in t else t for t in truths or [] if t is not None) if k is not None]
+    if not known:
+        return "no_truth"
+    return "correct" if any(same_answer(answer, k) for k in known) else "wrong"
+
+
+def math_reward_one(action: str | None, truths: list[str] | None, tool_call: bool, rewards: MathRewards = MathRewards()) -> float:
+    """Reward of the answer after the thinking part; several truths may hold."""
+    outcome = math_outcome(action, truths, rewards)
+    return getattr(rewards, outcome) + (rewards.tool_bonus if tool_call and outcome == "correct" else 0)
 
 
 def _boxed(s: pd.Series) -> pd.Series:
@@ -143,12 +193,29 @@ def extract_boxed(text: Column) -> Column:
     return F.pandas_udf(_boxed, T.StringType())(text)
 
 
-def _math(action: pd.Series, truths: pd.Series, tool_call: pd.Series) -> pd.Series:
-    return pd.Series([math_reward_one(a, None if t is None else list(t), bool(c)) for a, t, c in zip(action, truths, tool_call, strict=True)], dtype=float)
+def math_reward(action: Column, truths: Column, tool_call: Column, rewards: MathRewards = MathRewards()) -> Column:
+    def run(action: pd.Series, truths: pd.Series, tool_call: pd.Series) -> pd.Series:
+        return pd.Series([math_reward_one(a, None if t is None else list(t), bool(c), rewards) for a, t, c in zip(action, truths, tool_call, strict=True)], dtype=float)
+
+    return F.pandas_udf(run, T.DoubleType())(action, truths, tool_call)
+
+
+def math_kind(action: Column, truths: Column, rewards: MathRewards = MathRewards()) -> Column:
+    """The outcome's name: correct, wrong, no_form or no_truth."""
+
+    def run(action: pd.Series, truths: pd.Series) -> pd.Series:
+        return pd.Series([math_outcome(a, None if t is None else list(t), rewards) for a, t in zip(action, truths, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, T.StringType())(action, truths)
+
+
+def equal_answers(given: Column, truth: Column) -> Column:
+    """Whether two answers count as equal; null where one is null."""
 
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else same_answer(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
-def math_reward(action: Column, truths: Column, tool_call: Column) -> Column:
-    return F.pandas_udf(_math, T.DoubleType())(action, truths, tool_call)
+    return F.pandas_udf(run, T.BooleanType())(given, truth)
 
 
 def countdown_one(action: str | None, numbers: list[int] | None, target: int | None) -> float:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, extension, search
 from ..operators import curation as cu
+from ..operators import grading
 from .registry import query, table
 
 _RANK = "(SELECT *, row_number() OVER (ORDER BY md5('{s}:' || {k}), {k}) - 1 AS r FROM {t})"
@@ -326,18 +327,45 @@ def failed_test_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.array_join(cu.failed_tests(text), ",").alias("tests"))
 
 
-_CASES = [
-    ("\\boxed{1\\,234 \\text{ meters}}", "1234"), ("\\boxed{50\\%}", "50"), ("\\boxed{x = 3}", "3"), ("\\boxed{1\\frac{1}{2}}", "1.5"), ("\\boxed{3 1/2}", "3.5"), ("\\boxed{2 million}", "2000000"),
-    ("\\boxed{\\frac{2}{4}}", "\\frac{1}{2}"), ("\\boxed{0.5}", "\\frac12"), ("\\boxed{(1, 2]}", "(1,2]"), ("\\boxed{(1, 2)}", "(1,2]"), ("\\boxed{\\sqrt3}", "\\sqrt{3}"), ("\\boxed{.5}", "0.50"),
-    ("<|begin_of_box|>7<|end_of_box|> \\boxed{8}", "7"), ("no box 5", "5"), ("<think>\\boxed{1}</think> \\boxed{2}", "2"), ("\\boxed{" + "1+" * 150 + "1}", "151"), ("\\boxed{30^\\circ}", "30 degrees"), ("\\boxed{3 and 4}", "3,4"),
-]
-_RIGHT = [1, 1, 1, 1, 1, 1, 0, 1, 1, 0, 1, 1, 1, 0, 1, 1, 1, 1]
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 18 IN (6, 8, 11) OR p_size % 2 = 1 THEN 0.0 ELSE 1.0 END AS reward FROM part""")
+def math_answer_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes written in 18 ways; odd ones get a truth that is off by one."""
+    z, off = F.col("p_size").cast("long"), (F.col("p_size") + F.col("p_size") % 2).cast("long")
+    forms = [
+        (("\\boxed{1\\,%03d \\text{ meters}}", z), ("%d", 1000 + off)), (("\\boxed{%d\\%%}", z), ("%d", off)), (("\\boxed{x = %d}", z), ("%d", off)), (("\\boxed{%d\\frac{1}{2}}", z), ("%d.5", off)),
+        (("\\boxed{%d 1/2}", z), ("%d.5", off)), (("\\boxed{\\frac{%d}{101}}", z), ("\\dfrac{%d}{101}", off)), (("\\boxed{\\frac{%d}{4}}", 2 * z), ("\\frac{%d}{2}", z)), (("\\boxed{(%d, 2]}", z), ("(%d,2]", off)),
+        (("\\boxed{(%d, 2)}", z), ("(%d,2]", z)), (("\\boxed{\\sqrt{%d}}", 4 * z), ("2\\sqrt{%d}", off)), (("<|begin_of_box|>%d<|end_of_box|> \\boxed{8}", z), ("%d", off)), (("no box %d", z), ("%d", z)),
+        (("<think>\\boxed{1}</think> \\boxed{%d}", z), ("%d", off)), (("\\boxed{%d^\\circ}", z), ("%d degrees", off)), (("\\boxed{%d and 4}", z), ("%d,4", off)), (("\\boxed{%d million}", z), ("%d*10^6", off)),
+        (("\\boxed{.%03d}", z), ("0.%03d0", off)), (("\\boxed{%dx+x}", z), ("%dx", off + 1)),
+    ]
+    form = F.col("p_partkey") % 18
+    action, truth = (F.coalesce(*(F.when(form == k, F.format_string(*pair[side])) for k, pair in enumerate(forms))) for side in (0, 1))
+    return table(spark, d, "part").select("p_partkey", answers.math_reward(action, F.array(truth), F.lit(False)).alias("reward"))
 
 
-@query("SELECT i::INT AS case_no, [" + ", ".join(map(str, _RIGHT)) + "][i + 1]::DOUBLE AS reward FROM range(" + str(len(_RIGHT)) + ") r(i)")
-def math_answer_forms(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, a, [t]) for i, (a, t) in enumerate(_CASES)], "case_no int, action string, truths array<string>")
-    return rows.select("case_no", answers.math_reward(F.col("action"), F.col("truths"), F.lit(False)).alias("reward"))
+@query("""
+SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 5 THEN false WHEN 7 THEN n = m AND q % 4 <> 0 ELSE n = m END AS is_correct
+FROM (SELECT *, l_quantity::BIGINT AS q, l_partkey % 5 + 1 AS n, l_suppkey % 5 + 1 AS m FROM lineitem)""")
+def equal_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of like terms, fractions, roots, products and decimals against other forms of them."""
+    q, n, m = F.col("l_quantity").cast("long"), F.col("l_partkey") % 5 + 1, F.col("l_suppkey") % 5 + 1
+    forms = [
+        (("%dx+%dx", q, n), ("%dx", q + m)), (("\\frac{%d}{%d}", q, n), ("%d/%d", q, m)), (("\\sqrt{%d}", q * q * n), ("%d\\sqrt{%d}", q, m)), (("(x+%d)(x-%d)", q, n), ("x^2+(%d)x-%d", q - m, q * m)),
+        (("%d", q), ("%d/%d", q * n, m)), (("1/(\\sqrt{%d}-\\sqrt{%d})", q + 1, q), ("\\sqrt{%d}+\\sqrt{%d}", q + 1, q + F.abs(n - m))),
+        (("%d.%02d", F.floor(q / 4), 25 * (q % 4)), ("%d/4", q + F.when(n == m, 0).otherwise(1))),
+    ]
+    given, truth = (F.coalesce(*(F.when(F.col("l_linenumber") == k + 1, F.format_string(*pair[side])) for k, pair in enumerate(forms))) for side in (0, 1))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", given.alias("given"), truth.alias("truth"))
+    return grading.graded_answers(lines, "given", "truth").select("l_orderkey", "l_linenumber", "is_correct")
+
+
+@query("""
+SELECT o_custkey, answer, round(n / sum(n) OVER (PARTITION BY o_custkey), 6) AS share FROM (SELECT o_custkey, o_orderpriority AS answer, count(*) AS n FROM orders GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, answer) = 1""")
+def agreed_answers(spark: SparkSession, d: str) -> DataFrame:
+    a = grading.agreed_answers(table(spark, d, "orders").withColumn("answer", F.col("o_orderpriority")), ["o_custkey"], "answer")
+    return a.withColumn("share", F.round("share", 6))
 
 
 _RESPONSES = [

@@ -78,8 +78,9 @@ def stripped_main(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", an.without_main(code).alias("code"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 0.0 ELSE CASE WHEN c_custkey % 2 = 0 THEN 1.5 ELSE 1.0 END END::DOUBLE AS reward FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 3) THEN 0.0 ELSE CASE WHEN c_custkey % 2 = 0 THEN 1.5 ELSE 1.0 END END::DOUBLE AS reward FROM customer")
 def math_rewards(spark: SparkSession, d: str) -> DataFrame:
+    """A whole number equals 5.0, but no quotient."""
     k = F.col("c_custkey")
     answer = F.when(k % 4 == 0, F.concat(F.lit("\\frac{"), (k * 2).cast("string"), F.lit("}{2}"))).when(k % 4 == 3, F.lit("-1")).otherwise(F.concat(k.cast("string"), F.lit(".0")))
     action = F.concat(F.lit("<think>\\boxed{9}</think> so \\boxed{"), answer, F.lit("}"))

@@ -2,9 +2,11 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.functions import agent_text as at
+from tessera.functions import algebra as al
 from tessera.functions import answers as an
 from tessera.functions import normalise as nm
 from tessera.operators import callgraph as cg
+from tessera.operators import grading as gr
 
 
 def one(spark, column, **values):
@@ -14,13 +16,50 @@ def one(spark, column, **values):
 def test_boxes_and_answers():
     assert an.boxed(r"a \boxed{1} then \boxed{\frac{1}{2}} end") == r"\frac{1}{2}"
     assert an.boxed(r"\boxed{open") is None and an.boxed("none") is None and an.boxed(None) is None and an.boxed(r"\fbox{3}") == "3"
-    for a, b in ((r"\frac{1}{2}", "0.5"), ("1,000", "1000"), (r"\dfrac12", "1/2"), ("(1, 2)", "(1,2)"), (r"50\%", "50"), ("2^3", "8"), (r"\text{cm}5", "cm5")):
+    for a, b in ((r"\frac{1}{2}", "0.5"), ("1,000", "1000"), (r"\dfrac12", "1/2"), ("(1, 2)", "(1,2)"), (r"50\%", "50"), (r"\text{cm}5", "cm5"), ("2x+x", "3x"), (r"\sqrt{12}", r"2\sqrt{3}"), ("(x+1)^2", "x^2+2x+1"), (r"(\frac{\sqrt{2}}{2}, 1)", r"(1/\sqrt{2},1)"), ("2.0", "2"), ("x^{2}", "x*x")):
         assert an.same_answer(a, b), (a, b)
-    for a, b in (("1/2", "0.51"), ("(1,2)", "(2,1)"), ("x", "y"), ("[1,2)", "(1,2)"), ("", "")):
+    for a, b in (("1/2", "0.51"), ("(1,2)", "(2,1)"), ("x", "y"), ("[1,2)", "(1,2)"), ("", ""), ("2", "4/2"), ("8", "2^3"), ("1/2", "2/4"), ("x+y+z", "z+y+x"), ("x^12", "x^6x^6"), ("2", "3"), ("2x", "2y")):
         assert not an.same_answer(a, b), (a, b)
     assert an.exact_value("__import__('os')") is None and an.exact_value("1/0") is None
 
 
+def test_rational_functions_with_roots():
+    same = ["2x+x = 3x", "(x+1)^2 = x^2+2x+1", "1/sqrt(2) = sqrt(2)/2", "(x^2-1)/(x-1) = x+1", "sqrt(6) = sqrt(2)*sqrt(3)", "sqrt(x+1)^2 = x+1", "sqrt(4x+4) = 2sqrt(x+1)"]
+    same += ["1/(sqrt(3)-sqrt(2)) = sqrt(3)+sqrt(2)", "pi r^2 = r r pi", "x^(1/2) = sqrt(x)", "2sin(x+x) = 2sin(2x)", r"\sqrt[3]{16} = 2\sqrt[3]{2}", "a/b+b/a = (a^2+b^2)/(ab)"]
+    same += ["sqrt(x/y) = sqrt(xy)/y", "(1+sqrt(5))/2*(1-sqrt(5))/2 = -1", "8^(2/3) = 4", "0 = x-x", "2^(-1) = 1/2", "sqrt(2+4x) = sqrt(2)sqrt(1+2x)", "sqrt(-4)^2 = -4", "sqrt(-x)^2 = -x"]
+    for line in same:
+        assert al.same_function(*line.split(" = ")) is True, line
+    for line in ("2x = 3x", "sqrt(2) = 1.41421356", "x+y = x-y", "1/x = x", "sin(x) = cos(x)", "sqrt(3) = sqrt(2)+1", "sqrt(-4) = 2"):
+        assert al.same_function(*line.split(" = ")) is False, line
+    for odd in ("1/0", "x=3", "a,b", "__import__('os')", "2^x", "(1+x)^99", "[1]", "", ")(", "(" * 3000):
+        assert al.same_function(odd, "1") is None, odd
+
+
+def test_written_forms_of_answers():
+    right = [("\\boxed{1\\,234 \\text{ meters}}", "1234"), ("\\boxed{50\\%}", "50"), ("\\boxed{x = 3}", "3"), ("\\boxed{1\\frac{1}{2}}", "1.5"), ("\\boxed{3 1/2}", "3.5"), ("\\boxed{2 million}", "2*10^6"), ("\\boxed{3 and 4}", "3,4")]
+    right += [("\\boxed{0.5}", "\\frac12"), ("\\boxed{(1, 2]}", "(1,2]"), ("\\boxed{\\sqrt3}", "\\sqrt{3}"), ("\\boxed{.5}", "0.50"), ("<|begin_of_box|>7<|end_of_box|> \\boxed{8}", "7"), ("<think>\\boxed{1}</think> \\boxed{2}", "2"), ("\\boxed{30^\\circ}", "30 degrees")]
+    wrong = [("\\boxed{\\frac{2}{4}}", "\\frac{1}{2}"), ("\\boxed{(1, 2)}", "(1,2]"), ("no box 5", "5"), ("\\boxed{" + "1+" * 150 + "1}", "151"), ("\\boxed{2 million}", "2000000")]
+    for pairs, worth in ((right, 1), (wrong, 0)):
+        for action, truth in pairs:
+            assert an.math_reward_one(action, [truth], False) == worth, action
+
+
+def test_kinds_of_math_rewards(spark):
+    worth = an.MathRewards(correct=2, wrong=-1, no_form=-2, no_truth=-3, needs_thought=True)
+    cases = [(r"</think>\boxed{2x+x}", ["9", "3x"], 2), (r"\boxed{3x}", ["3x"], -2), ("</think>3x", ["3x"], -2), (r"</think>\boxed{3}", ["4"], -1), (r"</think>\boxed{3}", None, -3), (None, ["4"], -2), (r"</think>\boxed{3}", [r"\boxed{"], -3)]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, action string, truths array<string>, want int")
+    got = df.select("k", "want", an.math_reward(F.col("action"), F.col("truths"), F.lit(True), worth).alias("r"), an.math_kind(F.col("action"), F.col("truths"), worth).alias("kind")).collect()
+    assert all(r.r == r.want + (0.5 if r.want == 2 else 0) for r in got)
+    assert [r.kind for r in sorted(got)] == ["correct", "no_form", "no_form", "wrong", "no_truth", "no_form", "no_truth"]
+    assert one(spark, an.extract_boxed(F.lit(r"a \boxed{1} <|begin_of_box|> 2 <|end_of_box|>"))) == "2"
+
+
+def test_answers_are_compared_once_a_pair(spark):
+    df = spark.createDataFrame([(1, "2x+x", "3x"), (1, "2x+x", "3x"), (1, "4", "3x"), (2, None, "1"), (2, "1", None), (2, "4/2", "2")], "task int, a string, b string")
+    assert sorted((r.task, str(r.a), r.is_correct) for r in gr.graded_answers(df, "a", "b").collect()) == [(1, "2x+x", True), (1, "2x+x", True), (1, "4", False), (2, "1", None), (2, "4/2", False), (2, "None", None)]
+    assert {(r.task, r.a, round(r.share, 3)) for r in gr.agreed_answers(df, ["task"], "a").collect()} == {(1, "2x+x", 0.667), (2, "1", 0.5)}
+
+
 def test_rewards():
     assert an.math_reward_one(r"<think>\boxed{2}</think>\boxed{3}", ["3"], False) == 1
     assert an.math_reward_one(r"\boxed{3}", ["2", "3"], True) == 1.5
