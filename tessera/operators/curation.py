@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.search import bound
 from .reshape import shuffle_key
 
 #: The instruction of maths prompts, difficulty names and their numbers, names of failed states.
@@ -246,34 +247,32 @@ def unpacked_tests(packed: Column) -> Column:
     return F.pandas_udf(_unpacked_series, T.StringType())(packed)
 
 
-def tests_from_value(value: object) -> list[str]:
-    """Names of failed tests in a list, an object of states or lists, log lines, or one test's name; JSON text is read first."""
-    if isinstance(value, str):
-        try:
-            value = json.loads(value)
-        except ValueError:
-            pass
-    if isinstance(value, dict):
-        for key in TEST_KEYS:
-            if found := tests_from_value(value.get(key)):
-                return found
-        return [str(k) for k, v in value.items() if str(v).upper() in FAILED]
-    if isinstance(value, list):
-        return [str(v) for v in value]
-    if not isinstance(value, str):
-        return []
-    lines = [x.split() for x in value.splitlines()]
-    named = [x[1] for x in lines if len(x) > 1 and x[0] in ("ERROR", "FAILED")]
-    alone = value.strip()
-    return named or ([alone] if "::" in alone or alone.startswith("test_") else [])
-
-
-def _tests_series(s: pd.Series) -> pd.Series:
-    return s.map(tests_from_value)
-
-
-def failed_tests(value: Column) -> Column:
-    return F.pandas_udf(_tests_series, T.ArrayType(T.StringType()))(value)
+def _logged(text: Column) -> Column:
+    """Second words of the lines that begin with a failure's mark; without any, the text itself where it reads as one test's name."""
+    lines = F.transform(F.split(text, r"\R"), lambda x: F.split(F.btrim(x, F.lit(" \t\r")), r"\s+"))
+    marked = F.transform(F.filter(lines, lambda x: x[0].isin("ERROR", "FAILED") & (F.size(x) > 1)), lambda x: x[1])
+    alone = F.btrim(text, F.lit(" \t\r\n"))
+    name = F.when(F.contains(alone, F.lit("::")) | F.startswith(alone, F.lit("test_")), F.array(alone)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(marked) > 0, marked).otherwise(name)
+
+
+def failed_tests(value: Column, depth: int = 2) -> Column:
+    """Names of failed tests by the kind of value: a JSON list has them, an object has them under one of TEST_KEYS or as names of
+    failed states, any other text is a log or one name. Objects under a key are read ``depth`` deep; null has none."""
+    none = F.array().cast("array<string>")
+
+    def of_fields(fields: Column) -> Column:
+        by_state = F.map_keys(F.map_filter(fields, lambda _, state: F.coalesce(F.upper(state).isin(*FAILED), F.lit(False))))
+        by_key = [failed_tests(F.try_element_at(fields, F.lit(k)), depth - 1) for k in TEST_KEYS] if depth else []
+        return F.coalesce(*(bound(t, lambda x: F.when(F.size(x) > 0, x)) for t in by_key), by_state)
+
+    def of_text(text: Column) -> Column:
+        inner = F.when(F.startswith(text, F.lit('"')), F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")[0])
+        as_list = F.when(F.startswith(text, F.lit("[")), F.filter(F.from_json(text, "array<string>"), lambda x: x.isNotNull()))
+        in_object = F.when(F.startswith(text, F.lit("{")), bound(F.from_json(text, "map<string,string>"), of_fields))
+        return F.coalesce(as_list, in_object, bound(F.coalesce(inner, text), _logged), none)
+
+    return bound(F.btrim(value, F.lit(" \t\r\n")), of_text)
 
 
 # filters -----------------------------------------------------------------------------------------

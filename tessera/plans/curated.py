@@ -368,21 +368,33 @@ def agreed_answers(spark: SparkSession, d: str) -> DataFrame:
     return a.withColumn("share", F.round("share", 6))
 
 
-_RESPONSES = [
-    ("<think>no</think> It is \\boxed{Paris {x}} now", ["paris x"], "Paris {x}", 1.0), ("so **Big Ben** it is", ["Ben"], "Big Ben", 2 / 3), ("born on March 3, 1999 there", ["March 3, 1999"], "March 3, 1999", 1.0),
-    ("we met Ada Lovelace in town", ["Ada Lovelace", "Ada"], "Ada Lovelace", 1.0), ("about 1,200 people came", ["1200"], "1,200", 1.0), ("the answer is: green tea leaves.", ["tea leaves"], "green tea leaves", 0.8),
-    ("", ["x"], "", 0.0), ("in New York we like blue", ["blue"], "in New York we like blue", 2 / 7), ("meh ok", ["other"], "meh ok", 0.0),
-]
+_NAMES = ("Ada Lovelace", "Alan Turing", "Grace Hopper", "Mary Anne Evans", "Emmy Noether")
 
 
-@query("SELECT i::INT AS case_no, [" + ", ".join("'" + a.replace("'", "''") + "'" for _, _, a, _ in _RESPONSES) + "][i + 1] AS answer, round([" + ", ".join(str(r if r >= 0.3 else 0.0) for *_, r in _RESPONSES) + "][i + 1]::DOUBLE, 6) AS reward FROM range(" + str(len(_RESPONSES)) + ") r(i)")
+@query("""
+WITH r AS (SELECT o_orderkey, (o_orderkey % 9)::INT AS form, (o_custkey % 5)::INT AS w, o_custkey, o_orderdate::DATE AS day, floor(o_totalprice)::BIGINT AS price FROM orders),
+a AS (SELECT *, ['Ada Lovelace', 'Alan Turing', 'Grace Hopper', 'Mary Anne Evans', 'Emmy Noether'][w + 1] AS name, ['red', 'green', 'blue', 'white', 'black'][w + 1] AS colour FROM r),
+f AS (SELECT *, CASE form WHEN 0 THEN 'Clerk {' || o_custkey || '} x' WHEN 1 THEN 'Big ' || colour || ' one' WHEN 2 THEN strftime(day, '%B ') || day(day) || ', ' || year(day) WHEN 3 THEN name
+  WHEN 4 THEN price::VARCHAR WHEN 5 THEN colour || ' tea leaves' WHEN 6 THEN 'what came was ' || colour || ' and warm' WHEN 7 THEN 'in New York we like ' || colour ELSE '' END AS answer,
+  CASE form WHEN 0 THEN 'clerk ' || o_custkey || ' x' WHEN 1 THEN 'big ' || colour WHEN 2 THEN strftime(day, '%B ') || day(day) || ' ' || year(day) WHEN 3 THEN 'Alan Turing' WHEN 4 THEN price::VARCHAR WHEN 5 THEN 'green tea' WHEN 6 THEN 'blue' WHEN 7 THEN 'blue' ELSE 'x' END AS truth FROM a)
+SELECT o_orderkey, answer, round(CASE form WHEN 0 THEN 1 WHEN 1 THEN 0.8 WHEN 2 THEN 1 WHEN 3 THEN CASE WHEN w = 1 THEN 1 ELSE 0 END WHEN 4 THEN 1 WHEN 5 THEN CASE WHEN w = 1 THEN 0.8 ELSE 0.4 END
+  WHEN 6 THEN CASE WHEN w = 2 THEN 2 / 7.0 ELSE 0 END WHEN 7 THEN CASE WHEN w = 2 THEN 2 / 7.0 ELSE 0 END ELSE 0 END * CASE WHEN form IN (6, 7) THEN 0 ELSE 1 END, 6)::DOUBLE AS reward FROM f""")
 def search_rewards(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, a, t) for i, (a, t, _, _) in enumerate(_RESPONSES)], "case_no int, response string, truths array<string>").withColumn("answer", search.short_answer(F.col("response")))
-    return rows.select("case_no", "answer", F.round(search.search_reward(F.col("answer"), F.col("truths"))["reward"], 6).alias("reward"))
-
-
-def _length_reward(task: dict, action: str) -> extension.RewardOutput:
-    return extension.RewardOutput(float(len(action) % task["m"]), len(action) % task["m"] == 0, {"m": task["m"]})
+    """Responses that hide an answer in nine ways, made of orders."""
+    o = table(spark, d, "orders")
+    key, w = F.col("o_orderkey") % 9, (F.col("o_custkey") % 5).cast("int") + 1
+    name, colour = F.element_at(F.array(*map(F.lit, _NAMES)), w), F.element_at(F.array(*map(F.lit, ("red", "green", "blue", "white", "black"))), w)
+    day, price = F.date_format("o_orderdate", "MMMM d, yyyy"), F.floor("o_totalprice")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    responses = [
+        said("<think>\\boxed{no}</think> It is \\boxed{Clerk {", F.col("o_custkey"), "} x} now, {not} 1999"), said("so ** ** it is **Big ", colour, " one** since 1999"), said("we think it came on ", day, " by Ship Mail"),
+        said("we met ", name, " in New York, twice in 12 days"), said("about ", price, " people and 7 dogs came"), said("I guess. The answer is: ", colour, " tea leaves!"), said("meh. what came was ", colour, " and warm. no more of it"),
+        said("in New York  we like\n", colour), F.lit("<think>only thoughts</think> "),
+    ]
+    truths = [said("clerk ", F.col("o_custkey"), " x"), said("big ", colour), F.regexp_replace(day, ",", ""), F.lit("Alan Turing"), price.cast("string"), F.lit("green tea"), F.lit("blue"), F.lit("blue"), F.lit("x")]
+    response, truth = (F.coalesce(*(F.when(key == k, x) for k, x in enumerate(xs))) for xs in (responses, truths))
+    rows = o.select("o_orderkey", search.short_answer(response).alias("answer"), truth.alias("truth"))
+    return rows.select("o_orderkey", "answer", F.round(search.search_reward(F.col("answer"), F.array("truth"))["reward"], 6).alias("reward"))
 
 
 @query("""SELECT n_nationkey, (len(n_name) % 3)::DOUBLE AS reward, len(n_name) % 3 = 0 AS is_correct, '{"m": 3}' AS metadata FROM nation""")

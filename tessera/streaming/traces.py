@@ -1,48 +1,19 @@
-"""Structured Streaming forms: trace ingestion with upserts, groups that leave when full, rows held until enough.
-
-Back-pressure is the source's maxFilesPerTrigger, the flush barrier is a run with availableNow.
-"""
+"""Structured Streaming forms: file streams with back-pressure (maxFilesPerTrigger), groups that leave when full, event-time windows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.stores import upserted
-
 
 def file_stream(spark: SparkSession, folder: str, schema: str, files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def ingest(stream: DataFrame, store: str, checkpoint: str, key: list[str], updated: str, created: str) -> StreamingQuery:
-    """Merges each batch into the store's next version, so a repeated batch changes nothing; ends when all input is in."""
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = current(spark, store)
-        new = batch if old is None else batch
-        base = old if old is not None else batch.limit(0)
-        upserted(base, new, key, updated, created).write.mode("overwrite").parquet(f"{store}/v{epoch}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current(spark: SparkSession, store: str) -> DataFrame | None:
-    """The newest whole version of the store."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(store)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{store}/v{max(done)}") if done else None
-
-
 def full_groups(stream: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """key, values: a group leaves when its n-th member comes, and starts anew."""
     kinds = dict(stream.dtypes)
@@ -65,33 +36,7 @@ def full_groups(stream: DataFrame, key: str, value: str, n: int) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, values array<{kinds[value]}>", f"held array<{kinds[value]}>", "append", GroupStateTimeout.NoTimeout)
 
 
-def until_enough(least: int, emit: Callable[[DataFrame], None], partial: Callable[[DataFrame], int]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: holds batches until ``partial`` counts ``least`` among them, then emits them all."""
-    held: list[DataFrame] = []
-    count = [0]
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        held.append(batch.persist())
-        count[0] += partial(held[-1])
-        if count[0] >= least:
-            out = held[0]
-            for h in held[1:]:
-                out = out.unionByName(h)
-            emit(out)
-            for h in held:
-                h.unpersist()
-            held.clear()
-            count[0] = 0
-
-    return step
-
-
 def windowed(events: DataFrame, ts: str, by: str, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
     """Extra: event counts in windows of event time, late rows bounded by a watermark. A time without zone is taken as UTC."""
     e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return e.groupBy(F.window(ts, size), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
-
-
-def rechunked(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Mini-batches by count over an ordered batch."""
-    return df.withColumn("mini_batch", F.floor((F.col(order)) / size))

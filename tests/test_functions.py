@@ -5,7 +5,9 @@ from tessera.functions import agent_text as at
 from tessera.functions import algebra as al
 from tessera.functions import answers as an
 from tessera.functions import normalise as nm
+from tessera.functions import search as se
 from tessera.operators import callgraph as cg
+from tessera.operators import curation as cu
 from tessera.operators import grading as gr
 
 
@@ -124,3 +126,28 @@ def test_frames_and_modified(spark):
     t = spark.createDataFrame([(1, [("tests/t.py", "T.test_a[1]")]), (2, [("src/t.py", "test_a")])], "i int, frames array<struct<file_path:string,func_name:string>>")
     assert [r.i for r in cg.observed_tests(t, "frames", F.array(F.lit("test_a"))).collect()] == [1]
     assert cg.observed_tests(t, "frames", F.array().cast("array<string>")).count() == 0
+
+
+def test_short_answers(spark):
+    cases = [
+        ("<think>no</think> It is \\boxed{Paris {x}} now", "Paris {x}"), ("\\boxed{a{b}{c{d}}} and \\boxed{z}", "a{b}{c{d}}"), ("\\boxed{open {x}", None), ("\\boxed{}", ""), ("so **Big Ben** it is", "Big Ben"),
+        ("*no* then *yes sir*", "yes sir"), ("born on March 3, 1999 there", "March 3, 1999"), ("in june 2001", "june 2001"), ("on 3/4/2001 in 1999", "3/4/2001"), ("late 1999", "1999"), ("we met Ada Lovelace in town", "Ada Lovelace"),
+        ("from New York to Éva Nagy", "Éva Nagy"), ("about 1,200 people came with 7 dogs", "1,200"), ("7 dogs", "7"), ("30% of 5", "30"), ("the answer is: green tea leaves.", "green tea leaves"), ("so, we like it (a lot)!", "we like it (a lot"),
+        ("a b c. this was mine too. ok", "this was mine too"), ("meh ok", "meh ok"), ("", ""), (None, ""), ("  \n ", ""), ("x" * 3, "xxx"), ("<think>a\nb</think>  red \n\t tea", "red tea"),
+    ]
+    df = spark.createDataFrame([(k, r) for k, (r, _) in enumerate(cases)], "k int, r string")
+    got = {x.k: x.a for x in df.select("k", se.short_answer(F.col("r")).alias("a")).collect()}
+    for k, (r, a) in enumerate(cases):
+        assert a is None or got[k] == a, (r, got[k])
+
+
+def test_failed_tests_by_kind_of_value(spark):
+    cases = [
+        ('["a", "b::c", 3]', ["a", "b::c", "3"]), ('{"t1": "FAILED", "t2": "PASSED", "t3": "error", "t4": null}', ["t1", "t3"]), ("ok\nFAILED x::y - why\n ERROR z\nFAILED", ["x::y", "z"]), (" test_a ", ["test_a"]), ("m::n", ["m::n"]),
+        ("nothing here", []), ('{"tests": [], "f2p_tests": ["q"]}', ["q"]), ('{"FAIL_TO_PASS": "[\\"p\\"]", "tests": ["z"]}', ["p"]), ('{"tests": {"tests": {"u": "fail"}}}', ["u"]), ('"test_quoted"', ["test_quoted"]), ("[broken", []), ("{broken", []),
+        ("{}", []), ("[]", []), ("", []), (None, []), ('{"tests": "FAILED k"}', ["k"]), ("7", []),
+    ]
+    df = spark.createDataFrame([(k, r) for k, (r, _) in enumerate(cases)], "k int, r string")
+    got = {x.k: x.a for x in df.select("k", cu.failed_tests(F.col("r")).alias("a")).collect()}
+    for k, (r, a) in enumerate(cases):
+        assert got[k] == a, (r, got[k])

@@ -10,7 +10,6 @@ from tessera.operators import sequence as seq
 from tessera.operators import tokens as tok
 from tessera.sources import datasets as ds
 from tessera.sources import sinks
-from tessera.streaming import traces as st
 
 
 def test_unbiased_pass_at_k(spark):
@@ -114,23 +113,3 @@ def test_registry_and_readers(spark, tmp_path):
     assert good.count() == 1 and {r.reason for r in bad.collect()} == {"malformed", "not an object", "no instance_id"}
     meta = sinks.write_training(spark.createDataFrame([(1,), (1,), (2,)], "t int"), "t", str(tmp_path / "sft")).first()
     assert (meta.samples, meta.trajectories, meta.avg_steps) == (3, 2, 1.5)
-
-
-def test_streams(spark, tmp_path):
-    src, store = str(tmp_path / "in"), str(tmp_path / "store")
-    schema = "id int, v double, created double, updated double"
-    for k, rows in enumerate(([(1, 1.0, 1.0, 1.0), (2, 1.0, 1.0, 1.0)], [(1, 5.0, 9.0, 9.0), (3, 1.0, 1.0, 1.0)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        st.ingest(st.file_stream(spark, src, schema, 1), store, str(tmp_path / "ck"), ["id"], "updated", "created").awaitTermination()
-        assert st.current(spark, store).count() == 2 + k
-    now = {r.id: (r.v, r.created) for r in st.current(spark, store).collect()}
-    assert now == {1: (5.0, 1.0), 2: (1.0, 1.0), 3: (1.0, 1.0)}
-    groups = st.full_groups(st.file_stream(spark, src, schema).select("id", "v"), "id", "v", 2)
-    q = groups.writeStream.format("memory").queryName("full").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r.id, sorted(r["values"])) for r in spark.table("full").collect()] == [(1, [1.0, 5.0])]
-    out = []
-    step = st.until_enough(3, lambda df: out.append(df.count()), lambda df: df.count())
-    for k in range(4):
-        step(spark.range(2), k)
-    assert out == [4, 4]
