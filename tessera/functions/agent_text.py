@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .search import bound
+
 #: The end of a file whose length is not known.
 WHOLE = 999_999
 
@@ -109,6 +111,41 @@ def viewed_ranges(text: Column) -> Column:
     return F.transform(calls, lambda c: _read(F.regexp_extract(c, r"view\s+(\S+)", 1), F.coalesce(F.nullif(F.regexp_extract(c, r"\[?(\d+)[ ,]+\d+\]?$", 1), F.lit("")), F.lit("1")), F.coalesce(F.nullif(F.regexp_extract(c, r"\[?\d+[ ,]+(\d+)\]?$", 1), F.lit("")), F.lit(str(WHOLE)))))
 
 
+def editor_views(text: Column) -> Column:
+    """Views that an editor tool is asked for, as JSON or as parameters (name="path" or =path), with their ranges.
+
+    A call reaches to the next one; one whose command isn't view, or without a path, is left out.
+    """
+    from .normalise import sandbox_path
+
+    calls = F.filter(F.split(text, "<function="), lambda c: F.startswith(c, F.lit("file_editor>")))
+
+    def field(c: Column, name: str) -> Column:
+        return F.nullif(F.regexp_extract(c, rf'<parameter(?: name="{name}"|={name})>([^<]*)</parameter>', 1), F.lit(""))
+
+    def asked(c: Column) -> Column:
+        body = F.from_json(F.regexp_extract(c, r"(?s)^file_editor>\s*(\{.*\})", 1), "struct<command:string,path:string,view_range:array<int>>")
+        numbers = F.transform(F.regexp_extract_all(field(c, "view_range"), F.lit(r"(-?\d+)"), F.lit(1)), lambda x: x.cast("int"))
+        both = F.struct(F.coalesce(body["command"], field(c, "command")).alias("command"), sandbox_path(F.btrim(F.coalesce(body["path"], field(c, "path")))).alias("path"), F.coalesce(body["view_range"], numbers).alias("lines"))
+
+        def read(x: Column) -> Column:
+            whole = F.coalesce(F.size(x["lines"]), F.lit(0)) != 2
+            return F.struct(x["command"].alias("command"), _read(x["path"], F.when(whole, 1).otherwise(F.try_element_at(x["lines"], F.lit(1))), F.when(whole, WHOLE).otherwise(F.try_element_at(x["lines"], F.lit(2)))).alias("read"))
+
+        return bound(both, read)
+
+    wanted = F.filter(F.transform(calls, asked), lambda x: (x["command"] == "view") & x["read"]["file_path"].isNotNull())
+    return F.transform(wanted, lambda x: x["read"])
+
+
+def all_reads(text: Column) -> Column:
+    """What an agent's text shows it of files, by their paths in the repository: editor views in all their forms, and shell commands."""
+    from .normalise import sandbox_path
+
+    found = F.concat(editor_views(text), viewed_ranges(text), shell_reads(text))
+    return F.array_distinct(F.transform(found, lambda r: _read(sandbox_path(r["file_path"]), r["start_line"], r["end_line"])))
+
+
 def shell_reads(text: Column) -> Column:
     """Python files that cat, head, tail, sed and grep read; head without a number shows 50 lines."""
 
@@ -125,22 +162,13 @@ def shell_reads(text: Column) -> Column:
 
 
 def decorator_change(hunk: Column) -> Column:
-    """swap, add, remove, or null: for hunks whose changed lines are decorators only."""
-    lines = F.filter(F.split(hunk, "\n"), lambda x: x.rlike(r"^[+-](?![+-]{2})") & (F.btrim(F.substring(x, 2, 10000)) != ""))
+    """swap, add, remove, or null: for hunks whose changed lines are decorators only; file headers are no changes."""
+    lines = F.filter(F.split(hunk, "\n"), lambda x: x.rlike(r"^(?:\+(?!\+\+ )|-(?!-- ))"))
     deco = F.forall(lines, lambda x: x.rlike(r"^[+-]\s*@"))
     plus, minus = F.exists(lines, lambda x: x.startswith("+")), F.exists(lines, lambda x: x.startswith("-"))
     return F.when((F.size(lines) > 0) & deco, F.when(plus & minus, "swap").when(plus, "add").otherwise("remove"))
 
 
-def unified_diff(files: Column) -> Column:
-    """Unified text of structured diffs of Python files that are no tests."""
-    from .normalise import is_test_path
-
-    wanted = F.filter(files, lambda f: f["path"].endswith(".py") & ~is_test_path(f["path"]))
-    one = lambda f: F.concat(F.lit("--- a/"), f["path"], F.lit("\n+++ b/"), f["path"], F.lit("\n"), F.array_join(F.flatten(F.transform(f["hunks"], lambda h: F.concat(F.array(h["header"]), h["lines"]))), "\n"))
-    return F.array_join(F.transform(wanted, one), "\n")
-
-
 def metadata_slug(metadata: Column, prefix: str = "meta") -> Column:
     """URL-safe base64 of the JSON with sorted keys, without padding."""
     text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(metadata))))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +46,11 @@ def distinct_traces(df: DataFrame, instance: str, frames: str) -> DataFrame:
     return df.withColumn("trace_key", key).dropDuplicates([instance, "trace_key"])
 
 
-def observed_tests(df: DataFrame, frames: str, wanted: Column) -> DataFrame:
-    """Traces with a test-file frame whose bare name is wanted; nothing wanted keeps none."""
-    return df.where(F.exists(frames, lambda f: is_test_path(f["file_path"]) & F.array_contains(wanted, F.regexp_replace(F.element_at(F.split(f["func_name"], r"\."), -1), r"\[.*\]$", ""))))
+def observed_tests(df: DataFrame, frames: str, wanted: Column, fixtures: Sequence[str] = ()) -> DataFrame:
+    """Traces with a test-file frame whose bare name is wanted, or one of the fixtures; nothing wanted keeps none."""
+    bare = lambda f: F.regexp_replace(F.element_at(F.split(f["func_name"], r"\."), -1), r"\[.*\]$", "")
+    names = F.when(F.size(wanted) > 0, F.concat(wanted, F.array(*map(F.lit, fixtures)).cast("array<string>")))
+    return df.where(F.exists(frames, lambda f: is_test_path(f["file_path"]) & F.array_contains(names, bare(f))))
 
 
 def non_test_sources(files: Column, allowed: Column | None = None) -> Column:
@@ -67,51 +68,51 @@ def static_category(flags: dict[str, Column]) -> Column:
     return F.coalesce(F.nullif(F.concat_ws("+", *(F.when(c, F.lit(n)) for n, c in flags.items())), F.lit("")), F.lit("none"))
 
 
-def callables_of(source: str | None) -> list[tuple[str, str, int, int, str]]:
-    """(name, qualified name, first line, last line, own source without nested callables) of a module; nothing if it doesn't parse."""
-    try:
-        tree = ast.parse(source or "")
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    lines = (source or "").split("\n")
-    out: list[tuple[str, str, int, int, str]] = []
+CALLABLE = "name string, qualified_name string, start_line int, end_line int, decorated_line int, source string, own_source string"
 
-    def first(n: ast.AST) -> int:
-        return min([n.lineno, *(d.lineno for d in n.decorator_list)])
 
-    def walk(node: ast.AST, prefix: str) -> None:
+def callables_of(source: str | None) -> Iterator[tuple]:
+    """Rows of CALLABLE of a module, none if it doesn't parse. Lines are from the def on; decorated_line is the first
+    decorator's, or else the def's; own_source leaves out the lines of callables inside."""
+    try:
+        tree = ast.parse(source or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return
+    lines = (source or "").splitlines()
+    stack = [(tree, "")]
+    while stack:
+        node, prefix = stack.pop()
         for n in ast.iter_child_nodes(node):
             if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
-                inner = {k for c in ast.walk(n) if c is not n and isinstance(c, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef) for k in range(first(c), c.end_lineno + 1)}
-                own = "\n".join(lines[k - 1] for k in range(first(n), n.end_lineno + 1) if k not in inner)
-                out.append((n.name, prefix + n.name, first(n), n.end_lineno, own))
-                walk(n, f"{prefix}{n.name}.<locals>.")
-            elif isinstance(n, ast.ClassDef):
-                walk(n, f"{prefix}{n.name}.")
+                inside = {k for c in ast.walk(n) if c is not n and isinstance(c, ast.FunctionDef | ast.AsyncFunctionDef) for k in range(c.lineno, c.end_lineno + 1)}
+                span = range(n.lineno, n.end_lineno + 1)
+                decorated = min([n.lineno, *(d.lineno for d in n.decorator_list)])
+                yield n.name, prefix + n.name, n.lineno, n.end_lineno, decorated, "\n".join(lines[k - 1] for k in span), "\n".join(lines[k - 1] for k in span if k not in inside)
+                stack.append((n, f"{prefix}{n.name}.<locals>."))
             else:
-                walk(n, prefix)
+                stack.append((n, f"{prefix}{n.name}." if isinstance(n, ast.ClassDef) else prefix))
 
-    walk(tree, "")
-    return out
 
+@F.udtf(returnType=CALLABLE, useArrow=True)
+class Callables:
+    """Table function source -> CALLABLE, for lateral joins and, registered, for SQL."""
 
-def callables(df: DataFrame, key: Sequence[str], source: str) -> DataFrame:
-    """key, name, qualified_name, start_line, end_line, source: a row for each callable."""
-    kinds = dict(df.dtypes)
-    cols = [*key, "name", "qualified_name", "start_line", "end_line", "source"]
+    def eval(self, source: str):  # noqa: ANN201
+        yield from callables_of(source)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield pd.DataFrame([(*k, *c) for *k, s in pdf.itertuples(index=False) for c in callables_of(s)], columns=cols)
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", name string, qualified_name string, start_line int, end_line int, source string"
-    return df.select(*key, source).mapInPandas(run, schema)
+def callables(df: DataFrame, key: Sequence[str], source: str) -> DataFrame:
+    """key and CALLABLE: a row for each callable of each source."""
+    modules = df.select(*key, F.col(source).alias("__source"))
+    return modules.lateralJoin(Callables(F.col("__source").outer())).drop("__source")
 
 
 def modified(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Callables in both whose own source differs."""
-    o = old.select(*key, "qualified_name", F.col("source").alias("old_source"))
-    return new.join(o, [*key, "qualified_name"]).where(F.col("source") != F.col("old_source")).drop("old_source")
+    """Callables in both whose own source differs, as they are in old; of several with one name the last counts."""
+    on = [*key, "qualified_name"]
+    last = lambda df, *more: df.groupBy(*on).agg(*(F.max_by(c, "start_line").alias(c) for c in ("own_source", *more)))
+    n = last(new).withColumnRenamed("own_source", "new_source")
+    return last(old, "name", "start_line", "end_line", "decorated_line", "source").join(n, on).where("own_source <> new_source").drop("new_source")
 
 
 def added_and_deleted(old: DataFrame, new: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:

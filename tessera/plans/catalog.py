@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curated, evaluation, localisation, records, rollouts, streams, summarised, texts, tokens  # noqa: F401  they register their queries
+from . import code, curated, evaluation, localisation, records, rollouts, streams, summarised, texts, tokens  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL, Query
 
 

@@ -114,13 +114,6 @@ def hop_sorted_nodes(spark: SparkSession, d: str) -> DataFrame:
     return o.withColumn("r", F.row_number().over(w)).where("r <= 3").select("o_custkey", "o_orderkey")
 
 
-@query()
-def code_callables(spark: SparkSession, d: str) -> DataFrame:
-    """Callables of generated modules, one for each part; Python's parser has no SQL form."""
-    p = table(spark, d, "part").select("p_partkey", F.format_string("class P%d:\n    def get(self):\n        def inner():\n            return %d\n        return inner()\n\n\ndef f():\n    return 1\n", "p_partkey", "p_size").alias("code"))
-    return cg.callables(p, ["p_partkey"], "code").select("p_partkey", "qualified_name", "start_line", "end_line")
-
-
 @query("""
 SELECT user_id, count(*) AS n_frames, bool_and(ok) AS cumulative FROM (SELECT user_id, true AS ok FROM events) GROUP BY 1""")
 def cumulative_check(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from tessera.functions import normalise as nm
 from tessera.functions import search as se
 from tessera.operators import callgraph as cg
 from tessera.operators import curation as cu
+from tessera.operators import fault_traces as ft
 from tessera.operators import grading as gr
 
 
@@ -110,9 +113,9 @@ def test_completions(spark):
 
 def test_callables():
     code = "@dec\ndef f():\n    def g():\n        return 1\n    return g\n\n\nclass A:\n    class B:\n        def m(self):\n            pass\n"
-    got = {q: (a, b, s) for _, q, a, b, s in cg.callables_of(code)}
-    assert set(got) == {"f", "f.<locals>.g", "A.B.m"} and got["f"][:2] == (1, 5) and "return 1" not in got["f"][2]
-    assert cg.callables_of("def (") == [] and cg.callables_of(None) == []
+    got = {c[1]: c[2:] for c in cg.callables_of(code)}
+    assert set(got) == {"f", "f.<locals>.g", "A.B.m"} and got["f"][:3] == (2, 5, 1) and "return 1" in got["f"][3] and "return 1" not in got["f"][4]
+    assert list(cg.callables_of("def (")) == [] and list(cg.callables_of(None)) == []
 
 
 def test_frames_and_modified(spark):
@@ -125,7 +128,57 @@ def test_frames_and_modified(spark):
     assert [r.qualified_name for r in added.collect()] == ["h"] and [r.qualified_name for r in deleted.collect()] == ["g"]
     t = spark.createDataFrame([(1, [("tests/t.py", "T.test_a[1]")]), (2, [("src/t.py", "test_a")])], "i int, frames array<struct<file_path:string,func_name:string>>")
     assert [r.i for r in cg.observed_tests(t, "frames", F.array(F.lit("test_a"))).collect()] == [1]
-    assert cg.observed_tests(t, "frames", F.array().cast("array<string>")).count() == 0
+    assert cg.observed_tests(t, "frames", F.array().cast("array<string>"), ft.FIXTURES).count() == 0
+    fixed = spark.createDataFrame([(1, [("tests/t.py", "T.setUp")]), (2, [("src/t.py", "setUp")]), (3, [("tests/t.py", "T.other")])], t.schema)
+    assert [r.i for r in cg.observed_tests(fixed, "frames", F.array(F.lit("test_a")), ft.FIXTURES).collect()] == [1]
+
+
+def test_marker_blocks_and_json_lines_give_one_table(spark):
+    log = """noise
+<<<FAULT_TRACE_BEGIN:f:a.py:3>>>
+/testbed/tests/test_a.py:7:T.test_x[1]:self.go(1): ok
+/testbed/a.py:3:go:raise E
+/usr/lib/site-packages/p.py:1:z:z
+no frame
+/testbed/a.py:x:go:bad line number
+<<<FAULT_TRACE_END>>>
+/testbed/a.py:4:outside:not in a block
+<<<FAULT_TRACE_BEGIN:f:a.py:3>>>
+/testbed/a.py:3:given up:since another begins
+<<<FAULT_TRACE_BEGIN:f:a.py:3>>>
+/testbed/tests/b.py:1:T.setUp:s
+  /testbed/b.py:9:h:unpatched
+<<<FAULT_TRACE_END>>>
+<<<FAULT_TRACE_BEGIN:f:a.py:3>>>
+/testbed/a.py:3:never closed:x"""
+    lines = [{"frames": [{"file": "/testbed/tests/test_a.py", "line": 7, "name": "T.test_x[1]", "code": "self.go(1): ok"}, {"file": "/testbed/a.py", "line": 3, "name": "go", "code": "raise E"}, {"file": "/x/.venv/q.py", "line": 1, "name": "q", "code": ""}]}]
+    lines += [None, {"frames": []}, {"frames": [{"file": "/testbed/tests/b.py", "line": 1, "name": "T.setUp", "code": "s"}, {"file": "/testbed/b.py", "line": 9, "name": "h", "code": "unpatched"}]}]
+    text = "\n".join("{bad" if x is None else json.dumps(x) for x in lines)
+    logs = spark.createDataFrame([("i", log, text), ("none", None, None)], "inst string, log string, jsonl string")
+    plain = lambda df: sorted((r.file_path, r.line_no, r.func_name, r.line_content) for r in df.collect())
+    marks, jsons = ft.marker_frames(logs, ["inst"], "log"), ft.json_frames(logs, ["inst"], "jsonl")
+    assert plain(marks) == plain(jsons) == [("a.py", 3, "go", "raise E"), ("b.py", 9, "h", "unpatched"), ("tests/b.py", 1, "T.setUp", "s"), ("tests/test_a.py", 7, "T.test_x[1]", "self.go(1): ok")]
+    patched = spark.createDataFrame([("i", "a.py", 2, 5, "A.go", 1), ("i", "a.py", 1, 9, "A", 0), ("j", "b.py", 1, 99, "B", 0)], "inst string, file_path string, start_line int, end_line int, qualified_name string, ord int")
+    for frames in (marks, jsons):
+        for few in (0, 256):
+            got = ft.with_patched(frames, ["inst"], patched, few).collect()
+            assert sorted((r.func_name, r.qualified_name, r.is_patched) for r in got) == [("T.test_x[1]", "T.test_x[1]", False), ("go", "A", True)]
+        wanted = spark.createDataFrame([("i", "test_x"), ("j", "q")], "inst string, t string")
+        assert ft.from_wanted_tests(frames, ["inst"], wanted, "t").count() == 4  # one by its test, one by its fixture
+        assert ft.from_wanted_tests(frames, ["inst"], wanted.where("inst = 'j'"), "t").count() == 0
+
+
+def test_editor_views_in_all_forms(spark):
+    text = (
+        '<function=file_editor> {"command": "view", "path": "/testbed/a.py", "view_range": [3, 9]} </function> <function=file_editor>{"command": "view", "path": "b.py"}</function>'
+        '<function=file_editor>{"command": "create", "path": "no.py"}</function><function=file_editor><parameter name="command">view</parameter>\n<parameter name="path">./c.py</parameter><parameter name="view_range">[1, 20]</parameter></function>'
+        "<function=file_editor><parameter=command>view</parameter><parameter=path>d.py</parameter></function><function=file_editor><parameter=command>undo</parameter><parameter=path>e.py</parameter></function>"
+        '<function=bash><parameter name="command">cat f.py</parameter></function><function=file_editor>{broken</function>'
+    )
+    got = [(r.file_path, r.start_line, r.end_line) for r in one(spark, at.editor_views(F.lit(text)))]
+    assert got == [("a.py", 3, 9), ("b.py", 1, 999999), ("c.py", 1, 20), ("d.py", 1, 999999)]
+    assert [(r.file_path, r.start_line, r.end_line) for r in one(spark, at.all_reads(F.lit(text)))] == [*got, ("f.py", 1, 999999)]
+    assert one(spark, at.editor_views(F.lit("nothing"))) == []
 
 
 def test_short_answers(spark):
