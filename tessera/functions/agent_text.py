@@ -19,9 +19,9 @@ def tool_calls(text: Column) -> Column:
     return F.filter(named, lambda c: c["name"].isNotNull())
 
 
-def fenced_tool_calls(text: Column) -> Column:
-    """Calls that give a function name and then a json block."""
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call_begin>function<tool_sep>(.*?)<tool_call_end>"), F.lit(1))
+def fenced_tool_calls(text: Column, begin: str = "<tool_call_begin>", sep: str = "<tool_sep>", end: str = "<tool_call_end>") -> Column:
+    """Calls that give a function name and then a json block, between these marks."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s){begin}function{sep}(.*?){end}"), F.lit(1))
     return F.filter(
         F.transform(blocks, lambda b: F.struct(F.btrim(F.regexp_extract(b, r"^([^\n]*)\n", 1)).alias("name"), F.nullif(F.regexp_extract(b, r"(?s)```json\n(.*?)\n?```", 1), F.lit("")).alias("arguments"))),
         lambda c: (c["name"] != "") & F.try_parse_json(c["arguments"]).isNotNull(),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import agent_text as at
 from ..functions import answers as an
+from ..functions import chat
 from ..functions import normalise as nm
 from ..operators import reshape as rs
 from ..operators import tokens as tok
@@ -118,6 +119,25 @@ def rendered_chats(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", at.chat_text(F.col("m"), system="help", open_turn=True).alias("chat"))
 
 
+@query("""
+WITH c AS (SELECT conv_id, turn, text, CASE WHEN turn % 5 = 4 THEN 'tool' ELSE role END AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role IN ('user', 'assistant', 'system')),
+r AS (SELECT conv_id, k, role, text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM c),
+l AS (SELECT conv_id, '<|begin_of_text|>' || string_agg('<|start_header_id|>' || CASE role WHEN 'tool' THEN 'user' ELSE role END || '<|end_header_id|>' || chr(10) || chr(10) || CASE role WHEN 'tool' THEN '<|start_header_id|>tool_response<|end_header_id|>' || chr(10) || chr(10) ELSE '' END || text || CASE role WHEN 'tool' THEN '<|eot_id|><|eot_id|>' ELSE '<|eot_id|>' END, '' ORDER BY k) AS llama,
+  sum(CASE WHEN role = 'assistant' THEN length(text) + length('<|eot_id|>') ELSE 0 END)::BIGINT AS trained FROM r GROUP BY 1),
+d AS (SELECT conv_id, '<｜begin▁of▁sentence｜>' || string_agg(CASE role WHEN 'system' THEN text WHEN 'user' THEN '<｜User｜>' || text WHEN 'tool' THEN '<｜User｜><｜tool▁output▁begin｜>' || chr(10) || text || chr(10) || '<｜tool▁output▁end｜>' ELSE '<｜Assistant｜><think>' || chr(10) || 'r' || k || CASE WHEN t <> '' THEN chr(10) || '</think>' || chr(10) || chr(10) || t ELSE '' END || '<｜end▁of▁sentence｜>' END, '' ORDER BY k) || '<｜Assistant｜><think>' || chr(10) AS r1 FROM r GROUP BY 1)
+SELECT conv_id, md5(llama) AS llama, md5(r1) AS r1, trained FROM l JOIN d USING (conv_id)""")
+def chat_families(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations, every fifth turn a tool's, for two families: one with thoughts kept, one with what is trained on counted."""
+    c = table(spark, d, "conversations").where(F.col("role").isin("user", "assistant", "system"))
+    c = c.withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    m = F.struct("k", F.when(F.col("turn") % 5 == 4, "tool").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"), F.concat(F.lit("r"), F.col("k").cast("string")).alias("reasoning"))
+    c = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("m"))
+    messages = chat.as_messages(F.col("m"), ("role", "content", "reasoning"))
+    llama = c.select("conv_id", chat.pieces(messages, "llama").alias("l"), chat.pieces(messages, "r1", keep_reasoning=True, open_turn=True).alias("r"))
+    spans = F.aggregate(chat.trained_spans(F.col("l")), F.lit(0).cast("long"), lambda s, x: s + x["length"])
+    return llama.select("conv_id", F.md5(chat.rendered(F.col("l"))).alias("llama"), F.md5(chat.rendered(F.col("r"))).alias("r1"), spans.alias("trained"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS thought, CASE WHEN turn % 2 = 0 THEN 'go ' || turn ELSE '<function=f' || turn END AS action, turn % 2 = 0 AS balanced FROM conversations")
 def thoughts_and_actions(spark: SparkSession, d: str) -> DataFrame:
     even = F.col("turn") % 2 == 0
