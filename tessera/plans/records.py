@@ -10,7 +10,9 @@ from ..operators import neardup as nd
 from ..operators import reshape as rs
 from ..operators import stores as st
 from ..sources import datasets as ds
+from ..sources import imports as im
 from ..sources import sinks
+from ..sources.scratch import scratch
 from .registry import query, table
 
 
@@ -167,12 +169,35 @@ def bm25_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return nd.bm25(table(spark, d, "documents"), q, "doc_id", "item_id", "text", 5).select("item_id", "doc_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT conv_id, count(*) AS n, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END)::BIGINT AS n_steps, max(turn) AS last FROM conversations GROUP BY 1")
+@query("""
+SELECT conv_id, count(*) AS n, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END)::BIGINT AS n_steps, max(turn) AS last, CASE WHEN conv_id % 3 = 0 THEN 'rejected' ELSE 'chosen' END AS role, CASE WHEN conv_id % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS reward FROM conversations GROUP BY 1""")
 def imported_rollouts(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("messages"))
-    empty = c.limit(0)
-    o = ds.outcome_rows(c, empty)
-    return o.select("conv_id", F.size("messages").cast("long").alias("n"), F.col("n_steps").cast("long").alias("n_steps"), F.element_at("messages", -1)["turn"].alias("last"))
+    o = ds.outcome_rows(c.where("conv_id % 3 <> 0"), c.where("conv_id % 3 = 0"))
+    return o.select("conv_id", F.size("messages").cast("long").alias("n"), F.col("n_steps").cast("long").alias("n_steps"), F.element_at("messages", -1)["turn"].alias("last"), "role", "reward")
+
+
+@query("""
+WITH c AS (SELECT conv_id, count(*) FILTER (role = 'assistant')::INT AS n_steps FROM conversations GROUP BY 1),
+g AS (SELECT *, conv_id % 11 + 1 AS f, row_number() OVER (PARTITION BY conv_id % 11 ORDER BY conv_id) - 1 AS line FROM c WHERE conv_id % 7 <> 3)
+SELECT 'rollout_' || f || '_' || line AS instance_id, n_steps, 'primary' AS role FROM g WHERE conv_id % 7 <> 5""")
+def imported_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations in numbered files, as lists or in objects; every seventh line is no JSON, another has no messages, and other files lie beside them."""
+    folder = scratch(spark, "import")
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    kind, listed = F.col("conv_id") % 7, F.to_json("m")
+    line = F.when(kind == 3, F.lit("{bad")).when(kind == 5, F.lit('{"other": 1}')).when(kind < 3, listed).otherwise(F.concat(F.lit('{"messages": '), listed, F.lit("}")))
+    rows = c.select("conv_id", (F.col("conv_id") % 11 + 1).alias("f"), line.alias("value")).repartition("f").sortWithinPartitions("f", "conv_id")
+    rows.select("f", "value").write.partitionBy("f").text(f"{folder}/written")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join([folder, *parts]))
+    fs.mkdirs(path("in"))
+    for k in range(1, 12):
+        for name in im.file_names(spark, f"{folder}/written/f={k}") if fs.exists(path("written", f"f={k}")) else []:
+            if name.startswith("part-"):
+                fs.rename(path("written", f"f={k}", name), path("in", f"{k}.jsonl"))
+    fs.create(path("in", "notes.jsonl")).close()
+    return im.imported(spark, f"{folder}/in").select("instance_id", "n_steps", "role")
 
 
 @query("""

@@ -89,9 +89,14 @@ def tasks(df: DataFrame) -> DataFrame:
 
 
 def folder_type(files: DataFrame, path: str = "path") -> DataFrame:
-    """The kind of experiment a folder of files is: evaluation before collection before rollout."""
-    has = lambda p: F.bool_or(F.col(path).rlike(p))
-    return files.agg(F.when(has(r"results[^/]*\.jsonl$"), "eval").when(has(r"(pos|neg)[^/]*\.jsonl$"), "collection").when(has(r"\.jsonl?$"), "rollout").alias("type"))
+    """The kind of experiment a folder of files is: evaluation before collection before rollout; null if none."""
+    from .imports import KINDS
+
+    name = F.element_at(F.split(path, "/"), -1)
+    kind = F.lit(None).cast("string")
+    for k, pattern in reversed(KINDS.items()):
+        kind = F.when(F.bool_or(name.rlike(pattern)), k).otherwise(kind)
+    return files.agg(kind.alias("type"))
 
 
 def numbered(df: DataFrame, out: str = "line") -> DataFrame:
