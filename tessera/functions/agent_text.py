@@ -81,8 +81,10 @@ def test_statuses(log: Column) -> Column:
     tail = F.when(clean.contains("short test summary info"), F.substring(clean, F.instr(clean, F.lit("short test summary info")) + 23, F.length(clean)))
     status = lambda x: F.when(x.contains("PASSED"), "PASSED").when(x.contains("FAILED"), "FAILED").when(x.contains("ERROR"), "ERROR")
     lines = F.filter(F.split(tail, "\n"), lambda x: status(x).isNotNull() & x.contains("::"))
-    entries = F.transform(lines, lambda x: F.struct(F.concat_ws(".", F.slice(F.split(F.element_at(F.split(F.btrim(x), " - "), 1), "::"), F.lit(2), F.size(F.split(x, "::")))).alias("key"), status(x).alias("value")))
-    last = F.filter(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.exists(F.slice(entries, i + 2, F.size(entries)), lambda q: q["key"] == e["key"]).alias("again"))), lambda e: ~e["again"])
+    name = lambda x: F.concat_ws(".", F.slice(F.split(F.element_at(F.split(F.btrim(x), " - "), 1), "::"), F.lit(2), F.size(F.split(x, "::"))))
+    entries = F.transform(lines, lambda x, i: F.struct(name(x).alias("key"), (-i).alias("back"), status(x).alias("value")))
+    # sorted by name, the last of a log first; a name's first entry is the one whose neighbour has another name
+    last = bound(F.array_sort(entries), lambda s: F.filter(s, lambda e, i: F.coalesce(F.get(s, i - 1)["key"] != e["key"], F.lit(True))))
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
 
 

@@ -26,13 +26,18 @@ def tokens(s: Column) -> Column:
     return F.filter(F.split(s, " "), lambda x: x != "")
 
 
-def _count(arr: Column, x: Column) -> Column:
-    return F.size(F.filter(arr, lambda y: y == x))
+def common_tokens(p: Column, g: Column) -> Column:
+    """Size of the multiset both share: one pass over the tokens of both in order, counting a token on each side until the next."""
+    marked = F.array_sort(F.concat(F.transform(p, lambda x: F.struct(x.alias("x"), F.lit(1).alias("side"))), F.transform(g, lambda x: F.struct(x.alias("x"), F.lit(0).alias("side")))))
+    state = lambda token, a, b, total: F.struct(token.alias("x"), a.alias("a"), b.alias("b"), total.alias("total"))
+    zero = F.lit(0)
 
+    def step(s: Column, e: Column) -> Column:
+        again = F.coalesce(s["x"] == e["x"], F.lit(False))
+        kept = lambda side: F.when(again, s[side]).otherwise(zero)
+        return state(e["x"], kept("a") + e["side"], kept("b") + 1 - e["side"], F.when(again, s["total"]).otherwise(s["total"] + F.least(s["a"], s["b"])))
 
-def common_tokens(p: Column, g: Column) -> Column:
-    """Size of the multiset both share."""
-    return F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, x: acc + F.least(_count(p, x), _count(g, x)))
+    return F.aggregate(marked, state(F.lit(None).cast("string"), zero, zero, zero), step, lambda s: s["total"] + F.least(s["a"], s["b"]))
 
 
 def let(fn: Callable[[Column], Column], **values: Column) -> Column:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def left_padded(ids: Column, n: int, pad: int = 0) -> Column:
@@ -25,9 +28,13 @@ def batch_padded(df: DataFrame, batch: Sequence[str], ids: str, out: str = "padd
     return df.withColumn(out, F.concat(F.array_repeat(F.lit(pad).cast("int"), most - F.size(ids)), F.col(ids)))
 
 
+def _positions(mask: pd.Series) -> pd.Series:
+    return mask.map(lambda m: None if m is None else np.maximum(np.cumsum(m) - 1, 0))
+
+
 def positions(mask: Column) -> Column:
     """Running count of attended tokens less one, not under 0."""
-    return F.transform(mask, lambda x, i: F.greatest(F.lit(0), F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y) - 1))
+    return F.pandas_udf(_positions, T.ArrayType(T.IntegerType()))(mask)
 
 
 def reward_at_end(n: Column, reward: Column, width: int) -> Column:

@@ -115,8 +115,12 @@ def hop_sorted_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, count(*) AS n_frames, bool_and(ok) AS cumulative FROM (SELECT user_id, true AS ok FROM events) GROUP BY 1""")
+SELECT user_id, count(*) AS n_frames, NOT (user_id % 4 = 0 AND count(*) > 3 OR user_id % 4 = 1 AND count(*) > 5) AS cumulative FROM events GROUP BY 1""")
 def cumulative_check(spark: SparkSession, d: str) -> DataFrame:
+    """Messages grow step by step, but for users whose third step changes an earlier one, or whose fifth begins anew."""
     s = grp.step_positions(table(spark, d, "events").select("user_id", "ts"), ["user_id"], ["ts"])
-    s = s.withColumn("m", F.sequence(F.lit(0).cast("long"), F.col("step_idx")))
+    k, user = F.col("step_idx"), F.col("user_id") % 4
+    grown = F.sequence(F.lit(0).cast("long"), k)
+    changed = F.concat(F.array(F.lit(-1).cast("long")), F.slice(grown, F.lit(2), F.size(grown)))
+    s = s.withColumn("m", F.when((user == 0) & (k == 3), changed).when((user == 1) & (k == 5), F.slice(grown, F.lit(1), F.lit(1))).otherwise(grown))
     return seq.is_cumulative(s, ["user_id"], ["ts"], "m").join(s.groupBy("user_id").agg(F.count("*").alias("n_frames")), "user_id")

@@ -37,9 +37,9 @@ def trace_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, user_id, 0::BIGINT AS release FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 22)""")
+SELECT event_id, user_id, 0::BIGINT AS release FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 16)""")
 def enough_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _run(spark, d, lambda s: held.until_enough(s, "user_id", F.col("event_type") == "purchase", 22)).select("event_id", "user_id", "release")
+    return _run(spark, d, lambda s: held.until_enough(s, "user_id", F.col("event_type") == "purchase", 16)).select("event_id", "user_id", "release")
 
 
 @query("""
