@@ -187,6 +187,13 @@ def sft_messages(messages: Column) -> Column:
     return F.when(F.size(kept) >= 2, kept)
 
 
+def sft_examples(steps: DataFrame, trajectory: Sequence[str], order: str, messages: str, reward: str, least: float) -> DataFrame:
+    """trajectory and the cleaned messages of the last step of each whose reward (of that step's row) reaches ``least``; a null reward doesn't."""
+    last = steps.groupBy(*trajectory).agg(F.max_by(F.struct(messages, reward), order).alias("__l"))
+    kept = last.where(F.col(f"__l.{reward}") >= least).select(*trajectory, sft_messages(F.col(f"__l.{messages}")).alias("messages"))
+    return kept.where("messages is not null")
+
+
 def step_messages(messages: Column, response: Column) -> Column:
     """A call's messages and its response as one list."""
     return F.concat(messages, F.array(response))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,22 @@ def by_task(df: DataFrame, task: Sequence[str], reward: str, least: float = 1.0,
     return per.withColumns({f"pass_at_{k}": unbiased_pass_at_k(F.col("n"), F.col("c"), F.least(F.lit(k), F.col("n"))) for k in ks})
 
 
+def by_group(per_task: DataFrame, group: str, ks: Sequence[int] = (1, 5)) -> DataFrame:
+    """Of each group of tasks and of all (group null): n_tasks, solved (with a success), mean and sem of the tasks' means, and the mean pass_at_<k>; per_task is ``by_task``'s."""
+    n = F.count("*")
+    means = (F.avg(f"pass_at_{k}").alias(f"pass_at_{k}") for k in ks)
+    return per_task.rollup(group).agg(n.alias("n_tasks"), F.count_if(F.col("c") > 0).alias("solved"), F.avg("mean_reward").alias("mean"), (F.stddev_pop("mean_reward") / F.sqrt(n)).alias("sem"), *means)
+
+
+def solved_tasks(per_task: DataFrame, task: str) -> DataFrame:
+    """Tasks with a success and their place: most successes first, then by name."""
+    solved = per_task.where("c > 0")
+    counts = solved.groupBy("c").agg(F.count("*").alias("__n"))  # one row for each number of successes
+    above = counts.select("c", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("c").orderBy(task))
+    return solved.join(F.broadcast(above), "c").select(task, "c", "n", (F.col("__before") + within).alias("place"))
+
+
 def solve_histogram(per_task: DataFrame, n_samples: int) -> DataFrame:
     """Tasks by number of successes, 0 to n_samples, zeros shown."""
     bins = per_task.sparkSession.range(n_samples + 1).select(F.col("id").cast("int").alias("c"))

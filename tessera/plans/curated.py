@@ -153,6 +153,19 @@ def sft_rows(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", cu.sft_messages(F.col("m")).alias("m")).where("m is not null").select("conv_id", F.size("m").alias("n"), F.array_join("m.content", "|").alias("joined"))
 
 
+@query("""
+WITH s AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders)
+SELECT o_custkey, 'user:' || o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '|assistant:' || o_orderstatus END || '|assistant:end' AS chat FROM s WHERE r = 1 AND o_totalprice >= 200000""")
+def sft_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The last order of a customer is the last step, its price the reward; every third says nothing between."""
+    o = table(spark, d, "orders")
+    said = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    middle = F.when(F.col("o_orderkey") % 3 == 0, F.lit(" \n")).otherwise(F.concat(F.lit(" "), "o_orderstatus"))
+    m = F.array(said("user", F.col("o_orderpriority")), said("assistant", middle), said("assistant", F.lit("end ")), said(" ".strip(), F.lit("no role")))
+    out = cu.sft_examples(o.withColumn("m", m), ["o_custkey"], "o_orderkey", "m", "o_totalprice", 200000.0)
+    return out.select("o_custkey", F.array_join(F.transform("messages", lambda x: F.concat_ws(":", x["role"], x["content"])), "|").alias("chat"))
+
+
 @query("""
 SELECT CASE WHEN event_id % 5 = 0 THEN 'own-' || event_id ELSE 's' || user_id END AS "group", arg_min(CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'agent' END, event_id) AS name, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS steps
 FROM events GROUP BY 1""")

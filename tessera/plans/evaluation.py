@@ -25,6 +25,28 @@ def passk_unbiased(spark: SparkSession, d: str) -> DataFrame:
     return t.select("source", "n", "c", *(F.round(x, 6).alias(x) for x in ("mean_reward", "pass_at_1", "pass_at_5")))
 
 
+_TASKS = """(SELECT o_custkey, o_custkey % 7 AS repo, count(*)::INT AS n, count(*) FILTER (o_orderstatus = 'F')::INT AS c, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS m FROM orders GROUP BY 1)"""
+
+
+def _tasks(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").withColumn("repo", F.col("o_custkey") % 7).withColumn("reward", (F.col("o_orderstatus") == "F").cast("double"))
+    return passk.by_task(o, ["o_custkey", "repo"], "reward")
+
+
+@query(f"""
+WITH p AS (SELECT *, CASE WHEN c = 0 THEN 0.0 ELSE 1 - (n - c) / n::DOUBLE END AS p1,
+  CASE WHEN c = 0 THEN 0.0 WHEN n - c < least(5, n) THEN 1.0 ELSE 1 - list_reduce(list_transform(range(n - c + 1, n + 1), lambda i: 1.0::DOUBLE - least(5, n) / i::DOUBLE), lambda x, y: x * y) END AS p5 FROM {_TASKS})
+SELECT repo, count(*) AS n_tasks, count(*) FILTER (c > 0) AS solved, round(avg(m), 6) AS mean, round(stddev_pop(m) / sqrt(count(*)), 6) AS sem, round(avg(p1), 6) AS pass_at_1, round(avg(p5), 6) AS pass_at_5 FROM p GROUP BY ROLLUP (repo)""")
+def repository_report(spark: SparkSession, d: str) -> DataFrame:
+    r = passk.by_group(_tasks(spark, d), "repo")
+    return r.select("repo", "n_tasks", "solved", *(F.round(c, 6).alias(c) for c in ("mean", "sem", "pass_at_1", "pass_at_5")))
+
+
+@query(f"SELECT o_custkey, c, n, row_number() OVER (ORDER BY c DESC, o_custkey) AS place FROM {_TASKS} WHERE c > 0")
+def solved_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return passk.solved_tasks(_tasks(spark, d), "o_custkey")
+
+
 @query("""
 SELECT round(sum(c) / sum(n)::DOUBLE, 6) AS pass_at_1, round(avg(CASE WHEN c > 0 THEN 1.0 ELSE 0 END), 6) AS pass_at_k, count(*) AS n_tasks, sum(n)::BIGINT AS n_rollouts
 FROM (SELECT source, sum(quality)::BIGINT AS c, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1)""")
@@ -169,11 +191,16 @@ def contest_ratings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id)) AS k FROM documents)
-SELECT doc_id, lang FROM r WHERE k <= 5""")
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'rare' WHEN doc_id % 10 = 1 THEN 'few' ELSE lang END AS stratum FROM documents),
+c AS (SELECT stratum, count(*) AS n FROM d GROUP BY 1),
+level AS (SELECT v, s FROM (SELECT v, sum(least(n, v)) AS s FROM c, range(0, 304) r(v) GROUP BY v) WHERE s <= 303 ORDER BY v DESC LIMIT 1),
+take AS (SELECT stratum, least(n, v) + CASE WHEN n > v AND row_number() OVER (PARTITION BY n > v ORDER BY stratum) <= 303 - s THEN 1 ELSE 0 END AS t FROM c, level),
+r AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('7:' || doc_id)) AS k FROM d)
+SELECT doc_id, stratum FROM r JOIN take USING (stratum) WHERE k <= t""")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    return reports.stratified_sample(docs, "lang", "doc_id", 5 * docs.select("lang").distinct().count(), 7)
+    """303 documents of strata that are small, middling and large: what small ones lack the others give, odd ones by name."""
+    stratum = F.when(F.col("doc_id") % 50 == 0, "rare").when(F.col("doc_id") % 10 == 1, "few").otherwise(F.col("lang"))
+    return reports.stratified_sample(table(spark, d, "documents").select("doc_id", stratum.alias("stratum")), "stratum", "doc_id", 303, 7)
 
 
 @query("SELECT source, ('0x' || substr(sha256(source), 1, 8))::BIGINT AS seed FROM (SELECT DISTINCT source FROM documents)")

@@ -172,10 +172,13 @@ def viewed_ranges(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.explode(at.viewed_ranges(text)).alias("r")).select("p_partkey", "r.*")
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'swap' WHEN 1 THEN 'add' WHEN 2 THEN 'remove' END AS change FROM part")
+@query("""
+SELECT p_partkey, CASE WHEN starts_with(p_type, 'S') AND p_size % 3 < 2 THEN CASE WHEN p_size % 2 = 0 THEN 'swap' ELSE 'add' END WHEN p_size % 3 = 2 AND p_size % 2 = 0 THEN 'remove' END AS change FROM part""")
 def decorator_changes(spark: SparkSession, d: str) -> DataFrame:
-    m = F.col("p_size") % 4
-    hunk = F.when(m == 0, "@@\n-@a\n+@b\n def f():").when(m == 1, "@@\n+    @a\n def f():").when(m == 2, "@@\n-@a\n def f():").otherwise("@@\n-@a\n+    return 1")
+    """Hunks whose lines come from sizes and types: decorators that go, come, or both, beside other changes or not."""
+    out = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("\n-  @"), "p_brand")).otherwise(F.lit(""))
+    plus = F.concat(F.lit("\n+  "), F.when(F.startswith("p_type", F.lit("S")), F.lit("@")).otherwise(F.lit("")), "p_type")
+    hunk = F.concat(F.lit("--- a/m.py\n+++ b/m.py\n@@ -1,3 +1,3 @@"), out, F.when(F.col("p_size") % 3 < 2, plus).otherwise(F.lit("")), F.lit("\n def f():"))
     return table(spark, d, "part").select("p_partkey", at.decorator_change(hunk).alias("change"))
 
 
