@@ -9,17 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block, so of a task.
-BLOCK_ROWS = 4096
+#: Vectors of a block, so of a task, at most about.
+BLOCK_ROWS = 65536
 
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, vec: str, k: int, blocks: int | None = None) -> DataFrame:
     """query_id, vector_id, score, rank: the k best of all vectors for a stated set of queries; ties by id.
 
     The query set meets the vectors in blocks: each block is one matrix product and keeps its own k best for a
-    query before these meet. Blocks hold about BLOCK_ROWS vectors, however many there are.
+    query before these meet. There are as many blocks as the session has shuffle
+    partitions, more where these would hold over BLOCK_ROWS vectors.
     """
-    blocks = blocks or max(1, -(-vectors.count() // BLOCK_ROWS))
+    blocks = blocks or max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // BLOCK_ROWS))
     q = queries.select(F.col(query_id).alias("qid"), F.col(vec).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("at"))
     v = vectors.select(F.col(vector_id).alias("vid"), F.col(vec).alias("v"), F.pmod(F.xxhash64(vector_id), F.lit(blocks)).cast("int").alias("block"))
 

@@ -57,8 +57,24 @@ def _one(kind: int) -> Column:
     return F.array(F.struct(F.lit(kind).alias("__kind"), F.lit(0).alias("__level"), F.lit(0).cast("long").alias("__place")))
 
 
-def hot_keys(ranges: DataFrame, keys: Sequence[str], few: int) -> DataFrame:
-    return ranges.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > few).select(*keys, F.lit(True).alias("__hot"))
+#: Hot keys up to this number are broadcast.
+MOST_SENT = 50_000
+
+
+def hot_keys(ranges: DataFrame, keys: Sequence[str], few: int) -> DataFrame | None:
+    """Keys with more than few ranges, to be broadcast if they are counted to be few themselves; None if there are none."""
+    hot = ranges.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > few).select(*keys, F.lit(True).alias("__hot"))
+    n = hot.limit(MOST_SENT + 1).count()
+    return None if n == 0 else F.broadcast(hot) if n <= MOST_SENT else hot
+
+
+def _least_by_pairs(queries: DataFrame, ranges: DataFrame, keys: Sequence[str], ids: Sequence[str], query: tuple[str, str], span: tuple[str, str], value: str) -> DataFrame:
+    """ids and the least value met, null if none, over the pairs of a key."""
+    q, n = queries.alias("q"), ranges.alias("n")
+    hit = (F.col(f"q.{query[0]}") <= F.col(f"n.{span[1]}")) & (F.col(f"q.{query[1]}") >= F.col(f"n.{span[0]}")) & (F.col(f"q.{query[0]}") <= F.col(f"q.{query[1]}"))
+    for k in keys:
+        hit = hit & (F.col(f"q.{k}") == F.col(f"n.{k}"))
+    return q.join(n, hit, "left").groupBy(*(F.col(f"q.{c}").alias(c) for c in ids)).agg(F.min(f"n.{value}").alias("__v"))
 
 
 def _dealt(ranges: DataFrame, hot: DataFrame, keys: Sequence[str], span: tuple[str, str], value: str, kinds: Sequence[int]) -> DataFrame:
@@ -87,6 +103,8 @@ def overlap_min(
     A range overlaps if it begins within the read, or holds the read's beginning.
     """
     hot = hot_keys(nodes, key, few)
+    if hot is None:
+        return _least_by_pairs(reads, nodes, key, read_id, read, node, distance).select(*read_id, F.coalesce("__v", F.lit(-1.0)).alias(out))
     cols = [*dict.fromkeys([*key, *read_id])]
     r = reads.select(*cols, F.col(read[0]).alias("__a"), F.col(read[1]).alias("__b")).join(hot, [*key], "left")
     parts = _kinds((BEGINS, tree_nodes(F.col("__a"), F.col("__b"))), (HOLDS, ancestors(F.ceil("__a"))))
@@ -99,10 +117,13 @@ def overlap_min(
 def first_enclosing(points: DataFrame, ranges: DataFrame, key: str, point: str, start: str, end: str, order: str, point_id: Sequence[str], few: int = FEW) -> DataFrame:
     """The first range in list order that holds each point (a whole number); points in none drop out."""
     hot = hot_keys(ranges, [key], few)
+    listed = ranges.withColumn("__f", F.struct(F.col(order).alias("o"), F.col(start).alias("s")))
+    if hot is None:
+        met = _least_by_pairs(points, listed, [key], point_id, (point, point), (start, end), "__f").where("__v is not null")
+        return met.select(*point_id, F.col("__v.s").alias(start), F.col("__v.o").alias(order))
     cols = [*dict.fromkeys([key, *point_id])]
     p = points.select(*cols, F.col(point).alias("__a"), F.col(point).alias("__b")).join(hot, key, "left")
     asked = p.select(*cols, "__a", "__b", F.inline(F.when(F.col("__a").isNull(), _one(NOTHING)).when(F.col("__hot"), _kinds((HOLDS, ancestors(F.col("__a"))))).otherwise(_one(PAIRS))))
-    listed = ranges.withColumn("__f", F.struct(F.col(order).alias("o"), F.col(start).alias("s")))
     met = _least(asked, _dealt(listed, hot, [key], (start, end), "__f", (HOLDS,)), [key], point_id).where("__v is not null")
     return met.select(*point_id, F.col("__v.s").alias(start), F.col("__v.o").alias(order))
 
