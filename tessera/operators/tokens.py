@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Widths of up to this many batches are broadcast.
+MOST_SENT = 50_000
+
+
 def left_padded(ids: Column, n: int, pad: int = 0) -> Column:
     """The last n ids, padding in front."""
     kept = F.when(F.size(ids) > n, F.slice(ids, -n, n)).otherwise(ids)
@@ -24,8 +29,13 @@ def right_padded(ids: Column, n: int, pad: int = 0) -> Column:
 
 def batch_padded(df: DataFrame, batch: Sequence[str], ids: str, out: str = "padded", pad: int = 0) -> DataFrame:
     """Left padding to the longest row of the batch."""
-    most = F.max(F.size(ids)).over(Window.partitionBy(*batch))
-    return df.withColumn(out, F.concat(F.array_repeat(F.lit(pad).cast("int"), most - F.size(ids)), F.col(ids)))
+    names = [f"__b{k}" for k in range(len(batch))]
+    most = df.groupBy(*(F.col(b).alias(n) for b, n in zip(batch, names, strict=True))).agg(F.max(F.size(ids)).alias("__most"))
+    same = reduce(Column.__and__, (F.col(b).eqNullSafe(F.col(n)) for b, n in zip(batch, names, strict=True)))
+    if most.limit(MOST_SENT + 1).count() <= MOST_SENT:  # one row a batch, so a batch of any size stays where its rows are
+        most = F.broadcast(most)
+    padded = F.concat(F.array_repeat(F.lit(pad).cast("int"), F.col("__most") - F.size(ids)), F.col(ids))
+    return df.join(most, same).withColumn(out, padded).drop("__most", *names)
 
 
 def _positions(mask: pd.Series) -> pd.Series:
@@ -42,6 +52,11 @@ def reward_at_end(n: Column, reward: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.when((i == n) & (n > 0), reward).otherwise(F.lit(0.0)))
 
 
+def place_of_end(n: Column, width: int) -> Column:
+    """The place from 1 where ``reward_at_end`` puts the reward, 0 if there is none. The array itself can't tell: a reward of 0 looks like the zeros before it."""
+    return F.when((n > 0) & (n <= width), n).otherwise(0).cast("int")
+
+
 def shifted(seq: Column, logprobs: Column, advantages: Column, mask: Column) -> Column:
     """inputs without the last token, targets without the first, the rest along with the targets."""
 

@@ -41,8 +41,9 @@ def position_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT event_id, CASE WHEN n BETWEEN 1 AND 4 THEN n ELSE 0 END::INT AS at, round(CASE WHEN n BETWEEN 1 AND 4 THEN value ELSE 0 END, 6) AS total FROM (SELECT event_id, value, event_id % 6 AS n FROM events)""")
 def token_level_reward(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", "value", tok.reward_at_end(F.col("event_id") % 6, F.col("value"), 4).alias("r"))
-    return e.select("event_id", F.coalesce(F.array_position("r", F.when(F.col("event_id") % 6 > 0, F.col("value"))), F.lit(0)).cast("int").alias("at"), F.round(F.aggregate("r", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    n = F.col("event_id") % 6
+    e = table(spark, d, "events").select("event_id", tok.place_of_end(n, 4).alias("at"), tok.reward_at_end(n, F.col("value"), 4).alias("r"))
+    return e.select("event_id", "at", F.round(F.aggregate("r", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query("""
