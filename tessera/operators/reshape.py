@@ -135,3 +135,8 @@ def flat_fields(df: DataFrame, separator: str = "/") -> DataFrame:
 def merged_lists(df: DataFrame, key: Sequence[str], entries: str) -> DataFrame:
     """key, name, values of maps merged by name."""
     return df.select(*key, F.explode(entries).alias("name", "value")).groupBy(*key, "name").agg(F.collect_list("value").alias("values"))
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows found in both. Each side is made distinct first, so values that fill a table meet as one row a side."""
+    return a.distinct().intersect(b.distinct())

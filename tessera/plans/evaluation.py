@@ -236,7 +236,7 @@ def ratio_split(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderpriority FROM orders INTERSECT SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'P'")
 def set_intersection(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    return o.select("o_orderpriority").intersect(o.where("o_orderstatus = 'P'").select("o_orderpriority"))
+    return rs.in_both(o.select("o_orderpriority"), o.where("o_orderstatus = 'P'").select("o_orderpriority"))
 
 
 @query("""
