@@ -111,13 +111,22 @@ def rounds_report(results: DataFrame, correct: Column, rounds: str, reason: str)
     return by.agg(F.sum("n").alias("questions"), F.sum("c").alias("correct"), (F.sum("c") / F.sum("n")).alias("accuracy"), (F.sum("r") / F.sum("n")).alias("mean_rounds"), ends.alias("ends"))
 
 
+#: Rows of a task whose groups are nearly as many as its rows, so that its memory doesn't grow with the table.
+TASK_ROWS = 1 << 19
+
+
 def episode_lengths(steps: DataFrame, episode: str, trajectory: str, prompt: str, response: str, all_episodes: DataFrame) -> DataFrame:
-    """For each episode: trajectories, steps, and mean, least and greatest lengths; zeros for an episode without steps."""
-    got = steps.groupBy(episode).agg(
+    """For each of all_episodes: trajectories, steps, and mean, least and greatest lengths; zeros for an episode without steps.
+
+    Steps are dealt by episode to as many tasks as they need at TASK_ROWS each, and everything is counted where they lie.
+    """
+    width = max(int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-steps.count() // TASK_ROWS))
+    dealt = steps.select(*dict.fromkeys([episode, trajectory, prompt, response])).repartition(width, episode)
+    got = dealt.groupBy(episode).agg(
         F.count_distinct(trajectory).alias("num_trajectories"), F.count("*").alias("steps_used"), F.avg(response).alias("mean_response_len"), F.max(response).alias("max_response_len"),
         F.min(response).alias("min_response_len"), F.max(prompt).alias("max_prompt_len"), F.min(prompt).alias("min_prompt_len"),
     )
-    out = all_episodes.select(episode).distinct().join(got, episode, "left").fillna(0)
+    out = all_episodes.select(episode).repartition(width, episode).distinct().join(got, episode, "left").fillna(0)
     return out.withColumn("empty", (F.col("steps_used") == 0).cast("int"))
 
 

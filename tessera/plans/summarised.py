@@ -114,8 +114,7 @@ SELECT o_orderkey AS l_orderkey, count(DISTINCT l_suppkey) AS num_trajectories,
   coalesce(min(l_quantity), 0) AS min_response_len, coalesce(max(l_linenumber), 0) AS max_prompt_len, coalesce(min(l_linenumber), 0) AS min_prompt_len, (count(l_orderkey) = 0)::INT AS empty FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def episode_lengths(spark: SparkSession, d: str) -> DataFrame:
     everything = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    line = table(spark, d, "lineitem").join(everything, "l_orderkey", "left_semi")
-    return _rounded(su.episode_lengths(line, "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", everything), "mean_response_len")
+    return _rounded(su.episode_lengths(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", everything), "mean_response_len")
 
 
 @query("SELECT (p_size)::INT AS contest, string_agg(p_size || 'A' || p_partkey || ':' || (p_partkey % 2), ',' ORDER BY p_size || 'A' || p_partkey) AS problems FROM part GROUP BY 1")

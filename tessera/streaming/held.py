@@ -21,6 +21,10 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+#: Rows sent to the state at once.
+CHUNK = 1024
+
+
 class Held(StatefulProcessor):
     """Rows of a key leave together when the weights among them reach ``least``, or ``patience`` ms after the last came.
 
@@ -30,27 +34,40 @@ class Held(StatefulProcessor):
     def __init__(self, columns: str, names: list[str], least: int | None, size: int | None, patience: int | None) -> None:
         self.names = names
         self.columns, self.least, self.size, self.patience = columns, least, size, patience
+        self.at = len(names)  # of the weight in a row that comes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.row = Row(*self.names, "release")
         self.rows = handle.getListState("rows", self.columns)
         self.sums = handle.getValueState("sums", "weight long, rows long, released long")
 
     def _left(self, released: int, n: int) -> Iterator[Row]:
         for at, r in enumerate(self.rows.get()):
-            yield Row(**dict(zip(self.names, r, strict=True)), release=released + (at // self.size if self.size else 0))
+            yield self.row(*r, released + (at // self.size if self.size else 0))
         self.rows.clear()
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         weight, n, released = self.sums.get() if self.sums.exists() else (0, 0, 0)
+        # Each call to the state is a message to the JVM, so rows wait here in chunks; with ``size`` only what is left over goes to the state.
+        waiting: list[tuple] = []
+        if self.size and n:
+            waiting = [tuple(r) for r in self.rows.get()]
+            self.rows.clear()
         for r in rows:
-            values = r.asDict()
-            weight += values.pop("__weight")
+            values = tuple(r)
+            weight += values[self.at]
+            waiting.append(values[: self.at])
             n += 1
-            self.rows.appendValue(tuple(values.values()))
             if n == self.size:
-                yield from self._left(released, n)
+                yield from (self.row(*v, released) for v in waiting)
+                waiting.clear()
                 n, released = 0, released + 1
+            elif not self.size and len(waiting) == CHUNK:
+                self.rows.appendList(waiting)
+                waiting.clear()
+        if waiting:
+            self.rows.appendList(waiting)
         if self.least is not None and weight >= self.least:
             yield from self._left(released, n)
             weight, n, released = 0, 0, released + 1

@@ -34,3 +34,57 @@ def test_sets_meet_distinct(spark):
     got = rs.in_both(a, a.where("v is null or v = 'x'"))
     assert sorted(str(r.v) for r in got.collect()) == ["None", "x"]
     assert plan(got).split("Join")[1].count("keys=[v") >= 2  # each side is grouped below the join
+
+
+def test_episode_lengths_deals_steps_by_count(spark, monkeypatch):
+    from tessera.operators import summaries as su
+
+    monkeypatch.setattr(su, "TASK_ROWS", 10, raising=False)
+    steps = spark.range(100).select((F.col("id") % 20).alias("e"), (F.col("id") % 3).alias("t"), F.lit(1).alias("p"), F.col("id").alias("r"))
+    got = su.episode_lengths(steps, "e", "t", "p", "r", spark.range(5, 25).select(F.col("id").alias("e")))
+    assert plan(got).count("REPARTITION_BY_NUM") == 2 and ", 10), REPARTITION_BY_NUM" in plan(got)
+    rows = {r.e: r for r in got.collect()}
+    assert sorted(rows) == list(range(5, 25)) and rows[5].steps_used == 5 and rows[5].num_trajectories == 3 and rows[5].mean_response_len == 45 and rows[24].empty == 1
+
+
+def test_mini_batches_send_few_messages_to_the_state(monkeypatch):
+    from pyspark.sql import Row
+
+    from tessera.streaming import held
+
+    class State:
+        def __init__(self):
+            self.kept, self.calls = [], 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self.kept) if isinstance(self.kept, list) else self.kept
+
+        def exists(self):
+            return bool(self.kept)
+
+        def appendValue(self, v):
+            self.calls += 1
+            self.kept.append(v)
+
+        def appendList(self, v):
+            self.calls += 1
+            self.kept += list(v)
+
+        def update(self, v):
+            self.kept = v
+
+        def clear(self):
+            self.kept = []
+
+    class Handle:
+        def getListState(self, *_):
+            return State()
+
+        getValueState = getListState
+
+    h = held.Held("a long", ["a"], None, 4, None)
+    h.init(Handle())
+    out = [r for part in (range(0, 1001), range(1001, 2003)) for r in h.handleInputRows(None, (Row(a=k, __weight=0) for k in part), None)]
+    assert [(r.a, r.release) for r in out] == [(k, k // 4) for k in range(2000)] and h.rows.kept == [(2000,), (2001,), (2002,)]
+    assert h.rows.calls < 10
