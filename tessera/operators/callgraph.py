@@ -5,8 +5,10 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.normalise import is_test_path, sandbox_path
 from .sequence import minimal_hops, next_marker_distance, normalised_hops
@@ -101,10 +103,27 @@ class Callables:
         yield from callables_of(source)
 
 
+#: Modules parsed at once.
+PARSED = 256
+
+
 def callables(df: DataFrame, key: Sequence[str], source: str) -> DataFrame:
     """key and CALLABLE: a row for each callable of each source."""
-    modules = df.select(*key, F.col(source).alias("__source"))
-    return modules.lateralJoin(Callables(F.col("__source").outer())).drop("__source")
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    modules = df.select(*key, F.col(source).cast("string").alias("__source")).repartition(width, *key)  # parsing takes far longer than a small file's few tasks suggest
+    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    names = [*key, *(c.split()[0] for c in CALLABLE.split(", "))]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for a in range(0, whole.num_rows, PARSED):
+                batch = whole.slice(a, PARSED)
+                found = [(i, *c) for i, s in enumerate(batch.column(len(key)).to_pylist()) for c in callables_of(s)]
+                at, *columns = zip(*found, strict=True) if found else [()] * (len(types) + 1)
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(key))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+
+    return modules.mapInArrow(run, StructType([*df.select(*key).schema.fields, *StructType.fromDDL(CALLABLE).fields]))
 
 
 def modified(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:

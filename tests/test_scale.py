@@ -88,3 +88,23 @@ def test_mini_batches_send_few_messages_to_the_state(monkeypatch):
     out = [r for part in (range(0, 1001), range(1001, 2003)) for r in h.handleInputRows(None, (Row(a=k, __weight=0) for k in part), None)]
     assert [(r.a, r.release) for r in out] == [(k, k // 4) for k in range(2000)] and h.rows.kept == [(2000,), (2001,), (2002,)]
     assert h.rows.calls < 10
+
+
+def test_callables_are_parsed_by_as_many_tasks_as_the_session_has(spark):
+    from tessera.operators import callgraph as cg
+
+    df = spark.createDataFrame([(1, "def f():\n    return 1\n"), (2, None), (3, "def (")], "k int, code string").coalesce(1)
+    got = cg.callables(df, ["k"], "code")
+    assert "REPARTITION_BY_NUM" in plan(got)
+    by_udtf = df.lateralJoin(cg.Callables(F.col("code").outer())).drop("code")
+    assert got.columns == by_udtf.columns and [tuple(r) for r in got.collect()] == [tuple(r) for r in by_udtf.collect()] != []
+
+
+def test_many_middling_keys_meet_as_pairs_and_nodes_stop_at_the_widest_range(spark, monkeypatch):
+    from tessera.operators import ranges as rg
+
+    r = spark.range(100).select((F.col("id") % 10).alias("k"), F.col("id").alias("a"), (F.col("id") + 7).alias("b"))
+    r = r.union(r.where("k = 3"))
+    monkeypatch.setattr(rg, "MOST_SENT", 5)
+    assert [x.k for x in rg.hot_keys(r, ["k"], 9).collect()] == [3] and rg.hot_keys(r, ["k"], 30) is None
+    assert rg.last_level(r, "a", "b") == 3 and len(spark.range(1).select(rg.ancestors(F.col("id"), 3)).first()[0]) == 4
