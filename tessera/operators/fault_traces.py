@@ -48,25 +48,26 @@ def _own(rows: DataFrame, key: Sequence[str], repo: str) -> DataFrame:
     return rows.withColumn("file_path", path).where(~F.col("file_path").rlike(FOREIGN)).select(*key, *COLUMNS)
 
 
-def with_patched(frames: DataFrame, key: Sequence[str], patched: DataFrame, few: int = FEW) -> DataFrame:
+def with_patched(frames: DataFrame, key: Sequence[str], patched: DataFrame, few: int = FEW, per: Sequence[str] = ()) -> DataFrame:
     """frames with is_patched, and qualified_name of the first patched callable that holds the line (else the frame's own name);
-    traces without a patched frame go. patched: key, file_path, start_line, end_line, qualified_name, in the order of ``ord``."""
+    traces without a patched frame go. patched: key, file_path, start_line, end_line, qualified_name, in the order of ``ord``; per: columns that tell traces of a key apart, besides their number."""
     place = F.struct(*key, "file_path")
-    ids = [*key, "trace", "frame"]
+    trace = [*key, *per, "trace"]
+    ids = [*trace, "frame"]
     points = frames.select(*ids, place.alias("place"), "line_no")
-    first = first_enclosing(points, patched.withColumn("place", place), "place", "line_no", "start_line", "end_line", "ord", ids, few)
-    names = patched.groupBy(*key, "ord").agg(F.min("qualified_name").alias("qualified_name"))
-    named = first.join(names, [*key, "ord"]).select(*ids, "qualified_name")
+    first = first_enclosing(points, patched.withColumn("place", place), "place", "line_no", "start_line", "end_line", "ord", ids, few, carry=["qualified_name"])
+    named = first.select(*ids, "qualified_name")
     out = frames.join(named, ids, "left").withColumn("is_patched", F.col("qualified_name").isNotNull())
     out = out.withColumn("qualified_name", F.coalesce("qualified_name", "func_name"))
-    return out.withColumn("__any", F.max("is_patched").over(Window.partitionBy(*key, "trace"))).where("__any").drop("__any")
+    return out.withColumn("__any", F.max("is_patched").over(Window.partitionBy(*trace))).where("__any").drop("__any")
 
 
-def from_wanted_tests(frames: DataFrame, key: Sequence[str], wanted: DataFrame, test: str, fixtures: Sequence[str] = FIXTURES) -> DataFrame:
+def from_wanted_tests(frames: DataFrame, key: Sequence[str], wanted: DataFrame, test: str, fixtures: Sequence[str] = FIXTURES, per: Sequence[str] = ()) -> DataFrame:
     """Traces that a wanted test of their key began, or a fixture, which runs for them too; a key without wanted tests keeps none."""
     bare: Column = F.regexp_replace(F.element_at(F.split("func_name", r"\."), -1), r"\[.*\]$", "")
-    tests = frames.where(is_test_path(F.col("file_path"))).select(*key, "trace", bare.alias("__bare"))
+    trace = [*key, *per, "trace"]
+    tests = frames.where(is_test_path(F.col("file_path"))).select(*trace, bare.alias("__bare"))
     names = wanted.select(*key, F.col(test).alias("__bare")).distinct()
-    begun = tests.join(names, [*key, "__bare"], "left_semi").select(*key, "trace")
-    fixed = tests.where(F.col("__bare").isin(*fixtures)).join(names, [*key], "left_semi").select(*key, "trace")
-    return frames.join(begun.union(fixed).distinct(), [*key, "trace"], "left_semi")
+    begun = tests.join(names, [*key, "__bare"], "left_semi").select(*trace)
+    fixed = tests.where(F.col("__bare").isin(*fixtures)).join(names, [*key], "left_semi").select(*trace)
+    return frames.join(begun.union(fixed).distinct(), trace, "left_semi")

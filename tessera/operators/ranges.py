@@ -30,13 +30,25 @@ def tree_nodes(start: Column, end: Column) -> Column:
         taken = F.concat(s["out"], F.when(left, F.array(node(level, s["a"]))).otherwise(empty), F.when(right, F.array(node(level, s["b"] - 1))).otherwise(empty))
         return F.struct(F.shiftright(F.when(left, s["a"] + 1).otherwise(s["a"]), 1).alias("a"), F.shiftright(F.when(right, s["b"] - 1).otherwise(s["b"]), 1).alias("b"), taken.alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), first, climb, lambda s: s["out"])
+    width = _width(start, end)
+    last = F.when(width > 1, F.least(F.length(F.bin(width)) - 1, F.lit(LEVELS))).otherwise(0)  # a node on a level k has 2^k numbers
+    return F.aggregate(F.sequence(F.lit(0), last), first, climb, lambda s: s["out"])
 
 
-def ancestors(point: Column) -> Column:
-    """The nodes that hold a whole number."""
+def _width(start: Column, end: Column) -> Column:
+    return F.floor(end).cast("long") + 1 - F.greatest(F.ceil(start).cast("long"), F.lit(0))
+
+
+def last_level(ranges: DataFrame, start: str, end: str) -> int:
+    """The highest level on which a range of the table has a node."""
+    widest = ranges.agg(F.max(_width(F.col(start), F.col(end)))).first()[0] or 1
+    return min(max(widest, 1).bit_length() - 1, LEVELS)
+
+
+def ancestors(point: Column, last: int = LEVELS) -> Column:
+    """The nodes that hold a whole number, up to a level."""
     place = F.greatest(point.cast("long"), F.lit(0).cast("long"))
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.cast("int").alias("level"), F.floor(place / F.pow(F.lit(2.0), k)).cast("long").alias("place")))
+    return F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.struct(k.cast("int").alias("level"), F.floor(place / F.pow(F.lit(2.0), k)).cast("long").alias("place")))
 
 
 def _kinds(*parts: tuple[int, Column]) -> Column:
@@ -62,10 +74,16 @@ MOST_SENT = 50_000
 
 
 def hot_keys(ranges: DataFrame, keys: Sequence[str], few: int) -> DataFrame | None:
-    """Keys with more than few ranges, to be broadcast if they are counted to be few themselves; None if there are none."""
-    hot = ranges.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > few).select(*keys, F.lit(True).alias("__hot"))
-    n = hot.limit(MOST_SENT + 1).count()
-    return None if n == 0 else F.broadcast(hot) if n <= MOST_SENT else hot
+    """Keys with more than few ranges, to be broadcast; None if there are none.
+
+    Where over MOST_SENT keys have so many, the bar is doubled until no more are over it, so a key under the bar has fewer than
+    2 / MOST_SENT of all ranges: pairs on so many middling keys are cheaper than their nodes.
+    """
+    counted = ranges.groupBy(*keys).agg(F.count("*").alias("__n"))
+    bars = [min(few << k, 1 << 62) for k in range(48)]
+    over = counted.where(F.col("__n") > few).agg(*(F.count_if(F.col("__n") > b) for b in bars)).first()
+    bar, n = next((b, n) for b, n in zip(bars, over, strict=True) if n <= MOST_SENT)
+    return F.broadcast(counted.where(F.col("__n") > bar).select(*keys, F.lit(True).alias("__hot"))) if n else None
 
 
 def _least_by_pairs(queries: DataFrame, ranges: DataFrame, keys: Sequence[str], ids: Sequence[str], query: tuple[str, str], span: tuple[str, str], value: str) -> DataFrame:
@@ -107,25 +125,25 @@ def overlap_min(
         return _least_by_pairs(reads, nodes, key, read_id, read, node, distance).select(*read_id, F.coalesce("__v", F.lit(-1.0)).alias(out))
     cols = [*dict.fromkeys([*key, *read_id])]
     r = reads.select(*cols, F.col(read[0]).alias("__a"), F.col(read[1]).alias("__b")).join(hot, [*key], "left")
-    parts = _kinds((BEGINS, tree_nodes(F.col("__a"), F.col("__b"))), (HOLDS, ancestors(F.ceil("__a"))))
+    parts = _kinds((BEGINS, tree_nodes(F.col("__a"), F.col("__b"))), (HOLDS, ancestors(F.ceil("__a"), last_level(nodes, *node))))
     nothing = F.coalesce(F.col("__a") > F.col("__b"), F.lit(True))
     asked = r.select(*cols, "__a", "__b", F.inline(F.when(nothing, _one(NOTHING)).when(F.col("__hot"), parts).otherwise(_one(PAIRS))))
     met = _least(asked, _dealt(nodes, hot, key, node, distance, (BEGINS, HOLDS)), key, read_id)
     return met.select(*read_id, F.coalesce("__v", F.lit(-1.0)).alias(out))
 
 
-def first_enclosing(points: DataFrame, ranges: DataFrame, key: str, point: str, start: str, end: str, order: str, point_id: Sequence[str], few: int = FEW) -> DataFrame:
-    """The first range in list order that holds each point (a whole number); points in none drop out."""
+def first_enclosing(points: DataFrame, ranges: DataFrame, key: str, point: str, start: str, end: str, order: str, point_id: Sequence[str], few: int = FEW, carry: Sequence[str] = ()) -> DataFrame:
+    """The first range in list order that holds each point (a whole number), with its columns in carry; points in none drop out."""
     hot = hot_keys(ranges, [key], few)
-    listed = ranges.withColumn("__f", F.struct(F.col(order).alias("o"), F.col(start).alias("s")))
+    listed = ranges.withColumn("__f", F.struct(F.col(order).alias("o"), *carry, F.col(start).alias("s")))
     if hot is None:
         met = _least_by_pairs(points, listed, [key], point_id, (point, point), (start, end), "__f").where("__v is not null")
-        return met.select(*point_id, F.col("__v.s").alias(start), F.col("__v.o").alias(order))
+        return met.select(*point_id, F.col("__v.s").alias(start), F.col("__v.o").alias(order), *(F.col(f"__v.{c}").alias(c) for c in carry))
     cols = [*dict.fromkeys([key, *point_id])]
     p = points.select(*cols, F.col(point).alias("__a"), F.col(point).alias("__b")).join(hot, key, "left")
-    asked = p.select(*cols, "__a", "__b", F.inline(F.when(F.col("__a").isNull(), _one(NOTHING)).when(F.col("__hot"), _kinds((HOLDS, ancestors(F.col("__a"))))).otherwise(_one(PAIRS))))
+    asked = p.select(*cols, "__a", "__b", F.inline(F.when(F.col("__a").isNull(), _one(NOTHING)).when(F.col("__hot"), _kinds((HOLDS, ancestors(F.col("__a"), last_level(ranges, start, end))))).otherwise(_one(PAIRS))))
     met = _least(asked, _dealt(listed, hot, [key], (start, end), "__f", (HOLDS,)), [key], point_id).where("__v is not null")
-    return met.select(*point_id, F.col("__v.s").alias(start), F.col("__v.o").alias(order))
+    return met.select(*point_id, F.col("__v.s").alias(start), F.col("__v.o").alias(order), *(F.col(f"__v.{c}").alias(c) for c in carry))
 
 
 def step_distances(steps: DataFrame, step_id: Sequence[str], reads: str, key: Sequence[str], nodes: DataFrame, node: tuple[str, str], distance: str, few: int = FEW) -> DataFrame:

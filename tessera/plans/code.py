@@ -65,10 +65,8 @@ def fault_frames(spark: SparkSession, d: str) -> DataFrame:
     )
     wanted = p.where("p_size % 2 = 0").select("p_partkey", F.lit("test_go").alias("test"))
 
-    def kept(frames: DataFrame) -> DataFrame:
-        return ft.from_wanted_tests(ft.with_patched(frames, key, patched, few=20), key, wanted, "test")
-
-    both = kept(ft.marker_frames(p, key, "log")).withColumn("form", F.lit("markers")).unionByName(kept(ft.json_frames(p, key, "jsonl")).withColumn("form", F.lit("json")))
+    frames = ft.marker_frames(p, key, "log").withColumn("form", F.lit("markers")).unionByName(ft.json_frames(p, key, "jsonl").withColumn("form", F.lit("json")))
+    both = ft.with_patched(ft.from_wanted_tests(frames, key, wanted, "test", per=["form"]), key, patched, few=20, per=["form"])  # both drop whole traces, whichever is first
     return both.select("p_partkey", "form", "func_name", "qualified_name", "is_patched")
 
 
