@@ -2,18 +2,22 @@
 
 The alphabet: words that make up ``MIN_SHARE`` of the training tokens, classes of rarer words by
 their last two bytes (again those of at least that share; one class takes the rest), and the
-end of a text. So it has at most ``2 / MIN_SHARE`` symbols, however large the corpus. Contexts
-are the last one or two symbols. A context that makes up ``MIN_SHARE`` of the tokens is retained if
-its next-symbol distribution diverges from its parent's by ``MIN_GAIN`` nats over its
-count; next symbols of less than ``JOINT_SHARE`` share their parent's proportions. Distributions
-are smoothed towards the parent's with ``SMOOTH`` counts, and the longest retained suffix of
-what came before gives a token's distribution. Within a class a word has its share of the
-class; words unknown to the training rows together have the share of the class's tokens seen once
-(Good-Turing), as the base has one unknown word.
-
-Word counts of the whole corpus stay distributed: tasks send their distinct word hashes
-with counts, packed by hash bucket; chunks of documents send the distinct hashes they
-need and get the counts back.
+end of a text. So it has at most ``1 / MIN_SHARE`` symbols and three, however large the corpus. Contexts
+are the last one or two symbols. Every context and every next symbol of the training rows is
+counted. A context is retained if its next-symbol distribution diverges from its parent's by
+``MIN_GAIN`` nats over its count. Distributions are smoothed towards the parent's with ``SMOOTH``
+counts, and the longest retained suffix of what came before gives a token's distribution. Within a
+class a word has its share of the class; words unknown to the training rows together have the share
+of the class's tokens seen once (Good-Turing), as the base has one unknown word.
+
+Contexts of one symbol are broadcast: at most the alphabet's size squared entries, whatever the
+corpus. Those of two symbols stay distributed and grow with it: counts are summed by bucket of
+context and symbol, so that a frequent context is in no one group; sums meet by context for the
+test; all that is broadcast of them is which contexts are retained.
+
+Word counts of the whole corpus stay distributed too: tasks send their distinct word hashes
+with counts, packed by hash bucket; chunks of documents send the distinct hashes and entries of
+retained contexts they need and get the counts back.
 
 Defined cases: a null text counts as empty; an empty text is its end token alone; rows
 with one id are each scored; rows with a null id are scored, held out and never learnt from; without training rows all counts are zero; an empty
@@ -32,17 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .store import free_name, id_again, id_of, named, partitions, shuffle_width, written
+from .store import dropped, free_name, id_again, id_of, named, partitions, recorded, shuffle_width, written
 from .suffix_dedup import _by_group, _join, _table, chunk_column
 
 MIN_SHARE = 2e-4
-#: Contexts of two symbols are of symbols with this share each.
-PAIR_SHARE = 5e-3
-JOINT_SHARE = 1e-6
 MIN_GAIN = 20.0
 SMOOTH = 20.0
 MOST_NEW = 0.9
 CHUNK_BYTES = 8 << 20
+#: A task sends its counts of contexts when it holds so many.
+HELD = 4 << 20
 START, END, OTHER = 0, 1, 2
 #: The hash that stands for the end token.
 END_HASH = np.uint64(0x0123456789ABCDEF)
@@ -88,6 +91,31 @@ def distinct_words(buf: np.ndarray, off: np.ndarray) -> tuple[tn.Words, np.ndarr
     return words, h, uniq, tail, inv
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as all lowest bytes, then all second ones and so on: small numbers compress to little."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(packed: list[bytes], dtype: type) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(dtype).ravel() for x in packed]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Of sorted keys."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack(packed: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(from_planes([x], np.uint64), dtype=np.uint64) for x in packed)])
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted; np.unique of numpy 2.3 takes ten times as long here."""
+    k = np.sort(keys)
+    return k[np.append(True, k[1:] != k[:-1])[: len(k)]]
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
@@ -121,13 +149,13 @@ def _word_counts(train: DataFrame, buckets: int) -> DataFrame:
                     parts = [summed_words(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
         if parts:
             k, c, t = summed_words(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            rows = [(b, k[i].tobytes(), c[i].tobytes(), t[i].tobytes()) for b, i in _by_group((k % np.uint64(buckets)).astype(np.int64))]
+            rows = [(b, pack(k[i]), planes(c[i]), t[i].tobytes()) for b, i in _by_group((k % np.uint64(buckets)).astype(np.int64))]
             for a in range(0, len(rows), 64):
                 yield from _table(rows[a : a + 64], *_PACK).to_batches()
 
     def merge(table: pa.Table) -> pa.Table:
-        k, c, t = summed_words(_join(table, "keys", np.uint64), _join(table, "counts", np.int64), _join(table, "tails", np.uint16))
-        return _table([(table.column("bucket")[0].as_py(), k.tobytes(), c.tobytes(), t.tobytes())], *_PACK)
+        k, c, t = summed_words(unpack(table.column("keys").to_pylist()), from_planes(table.column("counts").to_pylist(), np.int64), _join(table, "tails", np.uint16))
+        return _table([(table.column("bucket")[0].as_py(), pack(k), planes(c), t.tobytes())], *_PACK)
 
     return train.select("text").mapInArrow(run, _PACKED).groupBy("bucket").applyInArrow(merge, _PACKED)
 
@@ -138,7 +166,7 @@ def _alphabet(vocab: DataFrame, n: int) -> Alphabet:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for keys, counts, tails in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
-                k, c, t = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64), np.frombuffer(tails, np.uint16)
+                k, c, t = unpack([keys]), from_planes([counts], np.int64), np.frombuffer(tails, np.uint16)
                 often = (c >= MIN_SHARE * n) & (k != END_HASH)
                 rest = ~often & (k != END_HASH)
                 total, once = np.bincount(t[rest], weights=c[rest], minlength=1 << 16), np.bincount(t[rest], weights=c[rest] == 1, minlength=1 << 16)
@@ -178,89 +206,129 @@ def token_symbols(words: tn.Words, sym: np.ndarray) -> tuple[np.ndarray, np.ndar
     return s, p1, p2, ends
 
 
-def _gram_counts(train: DataFrame, alphabet: Alphabet, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(depth, context and symbol; count), at most 1 / JOINT_SHARE of each depth, and the contexts' totals."""
-    shared = train.sparkSession.sparkContext.broadcast(alphabet)  # at most 2 / MIN_SHARE symbols
-    common = alphabet.counts >= PAIR_SHARE * max(n, 1)
+_GRAMS = (["bucket", "keys", "counts"], [pa.int64(), pa.binary(), pa.binary()])
+_GRAM = "bucket long, keys binary, counts binary"
+
+
+def _dealt_grams(group: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows by group of sorted keys and their counts."""
+    rows = [(b, pack(keys[i]), planes(counts[i])) for b, i in _by_group(group)]
+    for a in range(0, len(rows), 64):
+        yield from _table(rows[a : a + 64], *_GRAMS).to_batches()
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (tn.mix(keys) % np.uint64(buckets)).astype(np.int64)
+
+
+def gram_keys(s: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    return ((2 << 60) | (p2 << 40) | (p1 << 20) | s).astype(np.uint64)
+
+
+def _gram_counts(train: DataFrame, alphabet: Alphabet, buckets: int, most: int = HELD) -> DataFrame:
+    """Packed, with its depth for a bucket: (depth, context and symbol; count) of all contexts of one or two symbols."""
+    shared = train.sparkSession.sparkContext.broadcast(alphabet)  # at most 1 / MIN_SHARE symbols and three
+
+    def sent(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        one, times = summed(np.uint64(1 << 60) | (k & np.uint64((1 << 40) - 1)), c)
+        k, c = np.append(one, k), np.append(times, c)
+        yield from _dealt_grams(_bucket(k, buckets), k, c)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = np.zeros(0, np.uint64)
-        c = np.zeros(0, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in it:
             for _, _, buf, off in tn.slices(batch.column(0)):
                 words, _, uniq, tail, inv = distinct_words(buf, off)
                 s, p1, p2, _ = token_symbols(words, shared.value.of(uniq, tail)[inv])
-                two = common[p1] & common[p2]
-                one = (1 << 60) | (p1 << 20) | s
-                both = (2 << 60) | (p2[two] << 40) | (p1[two] << 20) | s[two]
-                keys = np.concatenate([one, both]).astype(np.uint64)
-                held.append(summed(keys, np.ones(len(keys), np.int64)))
+                held.append(summed(gram_keys(s, p1, p2), np.ones(len(s), np.int64)))
                 if len(held) > 8:
-                    k, c = summed(np.concatenate([k, *(x for x, _ in held)]), np.concatenate([c, *(y for _, y in held)]))
-                    held.clear()
-        k, c = summed(np.concatenate([k, *(x for x, _ in held)]), np.concatenate([c, *(y for _, y in held)]))
-        rows = [(b, k[i].tobytes(), c[i].astype(np.int32).tobytes(), b"") for b, i in _by_group((tn.mix(k >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64))]
-        for a in range(0, len(rows), 64):
-            yield from _table(rows[a : a + 64], *_PACK).to_batches()
+                    held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    if len(held[0][0]) > most:
+                        yield from sent(*held.pop())
+        if held:
+            yield from sent(*summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     def merge(table: pa.Table) -> pa.Table:
-        k, c = summed(_join(table, "keys", np.uint64), _join(table, "counts", np.int32).astype(np.int64))
-        ctx, total = summed(k >> np.uint64(20), c)
-        often = ctx[total >= MIN_SHARE * n]
-        keep = (c >= JOINT_SHARE * n) & np.isin(k >> np.uint64(20), often)
-        k = np.append(k[keep], (often << np.uint64(20)) | np.uint64(_TOTAL))
-        c = np.append(c[keep], total[total >= MIN_SHARE * n])
-        return _table([(0, k.tobytes(), c.tobytes(), b"")], *_PACK)
-
-    got = train.select("text").mapInArrow(run, _PACKED).groupBy("bucket").applyInArrow(merge, _PACKED).select("keys", "counts").collect()
-    k, c = (np.frombuffer(b"".join(bytes(r[x]) for r in got), t) for x, t in ((0, np.uint64), (1, np.int64)))
+        k, c = summed(unpack(table.column("keys").to_pylist()), from_planes(table.column("counts").to_pylist(), np.int64))
+        return pa.Table.from_batches(_dealt_grams((k >> np.uint64(60)).astype(np.int64), k, c))
+
+    return train.select("text").mapInArrow(run, _GRAM).groupBy("bucket").applyInArrow(merge, _GRAM)
+
+
+def _collected(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their counts."""
+    rows = grams.select("keys", "counts").collect()
+    k, c = unpack([bytes(r["keys"]) for r in rows]), from_planes([bytes(r["counts"]) for r in rows], np.int64)
+    order = np.argsort(k)
+    return k[order], c[order]
+
+
+def with_totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and counts with those of the contexts themselves."""
+    ctx, total = summed(keys >> np.uint64(20), counts)
+    k, c = np.append(keys, (ctx << np.uint64(20)) | np.uint64(_TOTAL)), np.append(counts, total)
     order = np.argsort(k)
     return k[order], c[order]
 
 
+def _diverging(grams: DataFrame, tree: Tree, buckets: int) -> DataFrame:
+    """Counts of the retained contexts of two symbols, next symbols and totals, packed by bucket; their totals again in bucket -1."""
+    shared = grams.sparkSession.sparkContext.broadcast(tree)  # contexts of one symbol
+
+    def by_context(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                k = unpack([keys])
+                yield from _dealt_grams(_bucket(k >> np.uint64(20), buckets), k, from_planes([counts], np.int64))
+
+    def test(table: pa.Table) -> pa.Table:
+        k, c = unpack(table.column("keys").to_pylist()), from_planes(table.column("counts").to_pylist(), np.int64)
+        order = np.argsort(k)
+        k, c = with_totals(k[order], c[order])
+        _, _, kept, _ = entries(shared.value, k, c, MIN_GAIN)
+        on, _ = _find(kept, k >> np.uint64(20))
+        k, c = k[on], c[on]
+        total = (k & np.uint64(_TOTAL)) == np.uint64(_TOTAL)
+        out = [*_dealt_grams(_bucket(k, buckets), k, c), *_dealt_grams(np.full(int(total.sum()), -1), k[total], c[total])]
+        return pa.Table.from_batches(out) if out else _table([], *_GRAMS)
+
+    return grams.where("bucket = 2").mapInArrow(by_context, _GRAM).groupBy("bucket").applyInArrow(test, _GRAM)
+
+
 def grow(alphabet: Alphabet, texts: int, keys: np.ndarray, counts: np.ndarray) -> Tree:
     """The retained contexts, parents first."""
-    size = len(alphabet.counts)
     root = alphabet.counts + 0.5
     root[END] += texts
     root[START] = 0
     root = root / root.sum()
-    logs = np.log(np.maximum(root, 1e-300))
-    tree = Tree(logs, [], [], [], [])
-    rows: dict[int, np.ndarray] = {}
-    cut = np.flatnonzero(np.append(True, (keys[1:] >> np.uint64(20)) != (keys[:-1] >> np.uint64(20)))) if len(keys) else []
-    out: dict[int, tuple[list, list, list, list]] = {1: ([], [], [], []), 2: ([], [], [], [])}
-    for a, b in zip(cut, np.append(cut[1:], len(keys)), strict=True) if len(keys) else ():
-        ctx = int(keys[a] >> np.uint64(20))
-        depth = ctx >> 40
-        parent = rows.get((1 << 40) | (ctx & _TOTAL), root) if depth == 2 else root
-        sym, c = (keys[a : b - 1] & np.uint64(_TOTAL)).astype(np.int64), counts[a : b - 1]
-        total = int(counts[b - 1])
-        left, left_parent = max(total - int(c.sum()), 0), max(1 - float(parent[sym].sum()), 1e-12)
-        p = (c + SMOOTH * parent[sym]) / (total + SMOOTH)
-        factor = (left + SMOOTH * left_parent) / (total + SMOOTH) / left_parent
-        if float((c * np.log(p / parent[sym])).sum()) + left * np.log(factor) < MIN_GAIN:
-            continue
-        full = parent * factor
-        full[sym] = p
-        if depth == 1:
-            rows[ctx] = full
-        o = out[depth]
-        o[0].append(keys[a : b - 1])
-        o[1].append(np.log(p))
-        o[2].append(ctx)
-        o[3].append(np.log(factor))
-    for d in (1, 2):
-        k, p, x, f = out[d]
-        tree.keys.append(np.concatenate(k) if k else np.zeros(0, np.uint64))
-        tree.logs.append(np.concatenate(p) if p else np.zeros(0))
-        tree.contexts.append(np.array(x, np.uint64))
-        tree.factors.append(np.array(f, float))
-    assert size < _TOTAL
+    tree = Tree(np.log(np.maximum(root, 1e-300)), [], [], [], [])
+    assert len(root) < _TOTAL
+    for depth in (1, 2):
+        there = (keys >> np.uint64(60)) == np.uint64(depth)
+        if depth == 1 or there.any():
+            tree = deeper(tree, keys[there], counts[there], MIN_GAIN)
     return tree
 
 
+def deeper(tree: Tree, keys: np.ndarray, counts: np.ndarray, least: float) -> Tree:
+    """tree with the contexts of one more symbol that gain ``least`` or more."""
+    new = entries(tree, keys, counts, least)
+    return Tree(tree.root, *([*old, x] for old, x in zip((tree.keys, tree.logs, tree.contexts, tree.factors), new, strict=True)))
+
+
+def entries(tree: Tree, keys: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, logs, contexts, factors) of contexts one symbol longer than the tree's, from sorted keys with the contexts' totals."""
+    own = (keys & np.uint64(_TOTAL)) == np.uint64(_TOTAL)
+    ctx, total = keys[own] >> np.uint64(20), counts[own]
+    k, c = keys[~own], counts[~own]
+    at = np.searchsorted(ctx, k >> np.uint64(20))
+    s, p1, p2 = ((k >> np.uint64(x) & np.uint64(_TOTAL)).astype(np.int64) for x in (0, 20, 40))
+    parent = symbol_logs(tree, s, p1, p2)
+    logs = np.log((c + SMOOTH * np.exp(parent)) / (total[at] + SMOOTH))
+    good = np.bincount(at, weights=c * (logs - parent), minlength=len(ctx)) >= least
+    return k[good[at]], logs[good[at]], ctx[good], np.log(SMOOTH / (total[good] + SMOOTH))
+
+
 def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which are there, their places)."""
     if not len(sorted_keys):
@@ -272,7 +340,7 @@ def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
 def symbol_logs(tree: Tree, s: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
     """log P(symbol) by the longest retained suffix of the two symbols before it."""
     out = tree.root[s].copy()
-    for d, ctx in ((1, (1 << 40) | p1), (2, (2 << 40) | (p2 << 20) | p1)):
+    for d, ctx in ((1, (1 << 40) | p1), (2, (2 << 40) | (p2 << 20) | p1))[: len(tree.contexts)]:
         there, at = _find(tree.contexts[d - 1], ctx.astype(np.uint64))
         on = np.flatnonzero(there)
         hit, place = _find(tree.keys[d - 1], ((ctx[on] << 20) | s[on]).astype(np.uint64))
@@ -294,7 +362,7 @@ def suffix_tree_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", t
 
     def stats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            c = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+            c = [from_planes([x], np.int64) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in c], pa.int64()) for f in (len, lambda x: int(x.sum()))], names=["v", "n"])
 
     got = vocab.select("counts").mapInArrow(stats, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
@@ -302,44 +370,66 @@ def suffix_tree_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", t
     alphabet = _alphabet(vocab, n)
     alphabet.counts[END] = texts = int(n - alphabet.counts.sum())
     new = np.minimum((alphabet.once + 0.5) / (alphabet.counts + 1), MOST_NEW)  # by class, of unknown words
-    tree = grow(alphabet, 0, *_gram_counts(src.where("train"), alphabet, n, chunks)) if texts else grow(alphabet, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    shared = spark.sparkContext.broadcast((alphabet, tree))  # at most 2 / MIN_SHARE symbols and 2 / JOINT_SHARE entries
+    size = len(alphabet.counts)
+    retained = np.zeros(size * size, bool)
+    known = vocab.select("bucket", "keys", "counts")
+    if texts:
+        with recorded() as paths:
+            grams = written(_gram_counts(src.where("train"), alphabet, chunks), "suffixtree")
+        tree = grow(alphabet, 0, *with_totals(*_collected(grams.where("bucket = 1"))))
+        longer = written(_diverging(grams, tree, chunks), "suffixtree")
+        dropped(spark, paths)
+        kept = _collected(longer.where("bucket = -1"))[0]
+        retained[((kept >> np.uint64(40) & np.uint64(_TOTAL)) * np.uint64(size) + (kept >> np.uint64(20) & np.uint64(_TOTAL))).astype(np.int64)] = True
+        known = known.union(longer.where("bucket >= 0").withColumn("bucket", F.col("bucket") + chunks))
+    else:
+        tree = grow(alphabet, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    shared = spark.sparkContext.broadcast((alphabet, tree, retained))  # at most 1 / MIN_SHARE symbols and three, their square in entries
     dealt = src.withColumn("chunk", chunk_column(F.col("id"), chunks)).repartition(partitions(spark, total), "chunk")
 
     def wants(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need: dict[int, list] = {}
+        alphabet, _, retained = shared.value
+        need: dict[tuple[int, bool], list] = {}
         for batch in it:
-            chunk = batch.column(0).to_numpy()
-            for i, j, buf, off in tn.slices(batch.column(1)):
-                words, h, *_ = distinct_words(buf, off)
-                of = chunk[i:j][words.doc()]
+            chunk = batch.column("chunk").to_numpy()
+            for i, j, buf, off in tn.slices(batch.column("text")):
+                words, h, uniq, tail, inv = distinct_words(buf, off)
+                s, p1, p2, _ = token_symbols(words, alphabet.of(uniq, tail)[inv])
+                long = retained[p2 * size + p1]
+                k = gram_keys(s, p1, p2)[long]
+                of, of_k = chunk[i:j][words.doc()], np.repeat(chunk[i:j], np.diff(words.first) + 1)[long]
                 for c in np.unique(chunk[i:j]).tolist():
-                    need.setdefault(c, []).append(np.unique(h[of == c]))
-                    if len(need[c]) > 8:
-                        need[c] = [np.unique(np.concatenate(need[c]))]
-        rows = []
-        for c, parts in need.items():
-            k = np.unique(np.concatenate([*parts, [END_HASH]]))
-            rows += [(c, b, k[i].tobytes(), b"") for b, i in _by_group((k % np.uint64(chunks)).astype(np.int64))]
-        for a in range(0, len(rows), 64):
-            t = _table(rows[a : a + 64], ["chunk", "bucket", "keys", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
-            yield from t.to_batches()
+                    for key, new in (((c, False), h[of == c]), ((c, True), k[of_k == c])):
+                        held = need.setdefault(key, [])
+                        held.append(distinct(new))
+                        if len(held) > 8:
+                            need[key] = [distinct(np.concatenate(held))]
+        for (c, gram), parts in need.items():
+            k = np.concatenate(parts)
+            k = distinct(np.concatenate([k, k | np.uint64(_TOTAL) if gram else [END_HASH]]))
+            bucket = chunks + _bucket(k, chunks) if gram else (k % np.uint64(chunks)).astype(np.int64)
+            rows = [(c, b, pack(k[i])) for b, i in _by_group(bucket)]
+            for a in range(0, len(rows), 64):
+                yield from _table(rows[a : a + 64], ["chunk", "bucket", "keys"], [pa.int64(), pa.int64(), pa.binary()]).to_batches()
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, times = (_join(right, "keys", np.uint64), _join(right, "counts", np.int64)) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        known, times = counted(right)
         rows = []
-        for c, keys in zip(left.column("chunk").to_pylist(), left.column("keys").to_pylist(), strict=True):
-            k = np.frombuffer(keys, np.uint64)
-            at = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
-            hit = known[at] == k if len(known) else np.zeros(len(k), bool)
-            rows.append((c, k[hit].tobytes(), times[at[hit]].tobytes()))
-        return _table(rows, ["chunk", "keys", "counts"], [pa.int64(), pa.binary(), pa.binary()])
+        for c, b, keys in zip(*(left.column(x).to_pylist() for x in ("chunk", "bucket", "keys")), strict=True):
+            k = unpack([keys])
+            hit, at = _find(known, k)
+            rows.append((c, b >= chunks, pack(k[hit]), planes(times[at[hit]])))
+        return _table(rows, ["chunk", "gram", "keys", "counts"], [pa.int64(), pa.bool_(), pa.binary(), pa.binary()])
+
+    def counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        k, c = unpack(table.column("keys").to_pylist()), from_planes(table.column("counts").to_pylist(), np.int64)
+        order = np.argsort(k)
+        return k[order], c[order]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        alphabet, tree = shared.value
-        known, times = (_join(right, "keys", np.uint64), _join(right, "counts", np.int64)) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(known)
-        known, times = known[order], times[order]
+        alphabet, tree, _ = shared.value
+        known, times = counted(right.filter(pc.invert(right.column("gram"))))
+        tree = deeper(tree, *counted(right.filter(right.column("gram"))), -np.inf)  # told are retained contexts alone
 
         def count(k: np.ndarray) -> np.ndarray:
             if not len(known):
@@ -360,7 +450,8 @@ def suffix_tree_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", t
             inside = np.where(sym >= alphabet.first_word, 0.0, np.where(c > 0, seen, np.log(new[sym])))
             s, p1, p2, ends = token_symbols(words, sym[inv])
             doc, m = words.doc(), len(off) - 1
-            logp = symbol_logs(tree, s, p1, p2)
+            _, one, back = np.unique(gram_keys(s, p1, p2), return_index=True, return_inverse=True)
+            logp = symbol_logs(tree, s[one], p1[one], p2[one])[back]
             tdoc = np.repeat(np.arange(m), np.diff(words.first) + 1)
             cols[0].append(np.diff(words.first) + 1)
             cols[1].append(np.bincount(doc, weights=(c > 0)[inv], minlength=m).astype(np.int64) + int(end_c[0] > 0))
@@ -372,8 +463,8 @@ def suffix_tree_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", t
             "train_tokens": pa.array(np.full(left.num_rows, n, np.int64)), "base_score": pa.array(base.astype(float)), "score": pa.array(mixed.astype(float)),
         })
 
-    asked = dealt.select("chunk", "text").mapInArrow(wants, "chunk long, bucket long, keys binary, counts binary")
-    told = asked.groupBy("bucket").cogroup(vocab.groupBy("bucket")).applyInArrow(answer, "chunk long, keys binary, counts binary")
+    asked = dealt.mapInArrow(wants, "chunk long, bucket long, keys binary")  # all columns: the texts are shuffled once for both
+    told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "chunk long, gram boolean, keys binary, counts binary")
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, schema)
     return out.select(id_again("id").alias(free_name(id_col, out.columns[1:])), *out.columns[1:])

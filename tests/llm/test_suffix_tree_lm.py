@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm.suffix_tree_lm import _TOTAL, Alphabet, grow, suffix_tree_scores, summed, symbol_logs
+from tessera.llm.suffix_tree_lm import _TOTAL, Alphabet, _gram_counts, distinct_words, from_planes, grow, suffix_tree_scores, summed, symbol_logs, unpack
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,3 +60,73 @@ def test_held_out_text_is_likelier_than_under_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = [r for r in suffix_tree_scores(docs, F.crc32(F.col("id").cast("string")) % 5 != 1).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def brute_force_scores(texts):
+    """log10 of each text; every word is frequent enough to be a symbol, so no class has a word."""
+    grams = {1: {}, 2: {}}
+    for t in texts:
+        seq = ["START", "START", *tokens(t)]
+        for i in range(2, len(seq)):
+            for d in (1, 2):
+                grams[d].setdefault(tuple(seq[i - d : i]), Counter())[seq[i]] += 1
+    c = Counter(w for t in texts for w in tokens(t))
+    whole = sum(c.values()) + 0.5 * (len(c) + 1)  # and a class without words
+    dist = {(): lambda s: (c[s] + 0.5) / whole}
+
+    def of(ctx):
+        return dist[ctx] if ctx in dist else of(ctx[1:])
+
+    for d in (1, 2):
+        for ctx, n in grams[d].items():
+            above, total = of(ctx[1:]), sum(n.values())
+            p = lambda s, n=n, above=above, total=total: (n[s] + 20 * above(s)) / (total + 20)
+            if sum(k * math.log(p(s) / above(s)) for s, k in n.items()) >= 20:
+                dist[ctx] = p
+    out = []
+    for t in texts:
+        seq = ["START", "START", *tokens(t)]
+        out.append(sum(math.log10(of(tuple(seq[i - 2 : i]))(seq[i])) for i in range(2, len(seq))))
+    return out, [x for x in dist if len(x) == 2], c
+
+
+def test_contexts_and_next_symbols_of_any_count_match_brute_force(spark):
+    rng = np.random.RandomState(4)
+    texts = [" ".join(f"w{i}" for i in rng.randint(0, 60, 100)) for _ in range(170)]
+    texts += ["x y z", "v y u"] * 84 + ["x y r"] * 4
+    want, longer, c = brute_force_scores(texts)
+    n = sum(c.values())
+    assert ("x", "y") in longer and c["x"] < 5e-3 * n  # this context was not counted
+    assert min(c.values()) >= 2e-4 * n
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in suffix_tree_scores(docs, F.lit(True)).collect()}
+    assert all(abs(got[i] - w) < 1e-6 * abs(w) for i, w in enumerate(want))
+
+
+def test_counts_sent_in_parts_are_those_of_brute_force(spark):
+    texts = [" ".join("abcdefgh"[i] for i in np.random.RandomState(j).randint(0, 8, 400)) for j in range(60)]
+    want = Counter()
+    for t in texts:
+        seq = ["START", "START", *tokens(t)]
+        for i in range(2, len(seq)):
+            want[tuple(seq[i - 2 : i + 1])] += 1
+            want[tuple(seq[i - 1 : i + 1])] += 1
+    letters = np.frombuffer(b"a b c d e f g h", np.uint8)
+    words, h, *_ = distinct_words(letters, np.array([0, len(letters)]))
+    order = np.argsort(h)
+    sym = ["START", None, "", *("abcdefgh"[i] for i in order)]
+    alphabet = Alphabet(h[order], 3 + np.arange(8), np.full(1 << 16, 2), np.zeros(11, np.int64), np.zeros(11, np.int64), 3)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        rows = _gram_counts(docs, alphabet, 5, 10).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    got = {}
+    for r in rows:
+        for k, n in zip(unpack([bytes(r["keys"])]).tolist(), from_planes([bytes(r["counts"])], np.int64).tolist(), strict=True):
+            gram = tuple(sym[k >> shift & _TOTAL] for shift in ((40, 20, 0) if k >> 60 == 2 else (20, 0)))
+            assert r["bucket"] == k >> 60 and gram not in got
+            got[gram] = n
+    assert got == want
