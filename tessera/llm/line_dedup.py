@@ -13,6 +13,9 @@ other, or if their variants without the word at one place are equal.
    a word out changes three terms. Equal keys join through the earliest line of each key (not
    as pairs), and every join is verified on the words.
 
+Joins whose one side has at most one row a half or a line hash that side, so the many rows of the other are not sorted;
+the join with the earliest of each variant stays sorted, as its keys grow with the words and a sort can spill.
+
 Defined cases: lines without words stay and null texts stay null; empty texts have no lines; rows
 with one id count as one document that holds one text; rows with a null id are documents after all others, one for
 each text, and keep their null; ties go by id and line; an empty table gives an empty result; other columns are passed through by ``without_repeated_lines`` and not read otherwise.
@@ -32,13 +35,16 @@ _ID = ["h1", "h2"]
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r\n", "     "), " "), "")
+    # translate looks at one code point after another, so only lines with such a blank pay for it
+    spaced = F.when(line.rlike("[\t\x0b\x0c\r\n]"), F.translate(line, "\t\x0b\x0c\r\n", "     ")).otherwise(line)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """doc, line, n, h1, h2 and the half keys (null under min_words) of every line with words."""
     src = id_and_text(docs, id_col, text_col).select(F.col("id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    src = src.select("doc", "line", _words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    # by the text and not by n: a filter on n is pushed below the words and cuts every line a second time
+    src = src.where(F.col("text").rlike("[^ \t\x0b\x0c\r\n]")).select("doc", "line", _words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     a, b = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") + 1) / 2).cast("int")
 
     def first(k: Column) -> Column:
@@ -97,8 +103,8 @@ def _near(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Data
     """h1, h2 of lines that have an earlier line within one edit."""
     keyed = lines.where("halves is not null").select(*_ID, F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
-    some = keyed.join(shared, "half", "left_semi").select(*_ID).distinct()
-    first = lines.join(some, _ID, "left_semi").groupBy(*_ID).agg(F.min(F.struct("doc", "line")).alias("e")).select(*_ID, "e.*")
+    some = keyed.join(shared.hint("shuffle_hash"), "half", "left_semi").select(*_ID).distinct()
+    first = lines.join(some.hint("shuffle_hash"), _ID, "left_semi").groupBy(*_ID).agg(F.min(F.struct("doc", "line")).alias("e")).select(*_ID, "e.*")
     by_doc = first.groupBy("doc").agg(F.collect_list(F.struct("line", *_ID)).alias("some"))
     text = id_and_text(docs, id_col, text_col).toDF("doc", "t")
     text = text.join(by_doc.hint("shuffle_hash"), "doc").withColumn("all", F.split("t", "\n"))
@@ -114,7 +120,7 @@ def _near(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Data
     replaced = left_out.join(groups, [*key, "place"]).select(*_ID, "e").where("e.h1 <> h1 or e.h2 <> h2")
     # a line that is another's variant: both ways, again with the earliest
     whole = variants.where("place < 0").select(*key, F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.struct("doc", "line", *_ID).alias("w"))
-    met = left_out.select(*key, *_ID, order.alias("o")).join(whole, key)
+    met = left_out.select(*key, *_ID, order.alias("o")).join(whole.hint("shuffle_hash"), key)
     longer = met.where("w < o").select(*_ID, F.col("w").alias("e"))
     shorter = met.where("o < w").groupBy("k1", "k2").agg(F.min("o").alias("e")).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "e")
     pairs = replaced.union(longer).union(shorter).select(*_ID, F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).distinct()
@@ -130,7 +136,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copied = lines.groupBy(*_ID).agg(F.min(F.struct("doc", "line")).alias("e"), F.count("*").alias("c")).where("c > 1").select(*_ID, "e")
     known = copied.join(near.withColumn("near", F.lit(True)), _ID, "full")
     gone = F.coalesce(F.col("near") | (F.col("e.doc") != F.col("doc")) | (F.col("e.line") != F.col("line")), F.col("near"), F.lit(False))
-    return lines.select("doc", "line", *_ID).join(known, _ID, "left").select("doc", "line", gone.alias("gone"))
+    return lines.select("doc", "line", *_ID).join(known.hint("shuffle_hash"), _ID, "left").select("doc", "line", gone.alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 import re
 
-from tessera.llm.line_dedup import line_dedup, without_repeated_lines
+from tessera.llm.line_dedup import MIN_WORDS, _lines, line_dedup, without_repeated_lines
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string"
@@ -67,3 +67,14 @@ def test_cut_texts_keep_other_columns(spark):
 
 def test_empty(empty):
     assert line_dedup(empty).count() == 0
+
+
+def test_a_line_is_cut_into_words_once(spark):
+    rows = [(1, "a b\tc  d\r\n\x0b\x0c\n \t\r\n\ne", "s"), (2, "a b c d\na\x0bb\x0cc\td\n\x0be", "s")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    lines = _lines(df, "doc_id", "text", MIN_WORDS)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_remove(") == 1, plan
+    assert sorted((r.doc, r.line, r.n) for r in lines.collect()) == [(1, 0, 4), (1, 4, 1), (2, 0, 4), (2, 1, 4), (2, 2, 1)]
+    got = {r.doc_id: (r.n_lines, list(r.removed)) for r in line_dedup(df).collect()}
+    assert got == brute(rows) == {1: (2, []), 2: (3, [0, 1, 2])}
